@@ -113,7 +113,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds by document, a digest of the base spans, and all spans."""
     found = find(docs.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"].isin(BASE_KINDS))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select(F.col("doc_id").cast("long"), *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
 
 
