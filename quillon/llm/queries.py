@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import media, pii
+from quillon.llm import media, mixing, packing, pii, tokens
 from quillon.llm.common import read_table, whole_text
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed to their sources' targets."""
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an MPEG stream, read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", whole_text())
@@ -22,7 +43,10 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pii": op4_pii,
+    "op7_mixing": op7_mixing,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLES: dict[str, str] = {}
