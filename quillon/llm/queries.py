@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import media, mixing, packing, pii, tokens
+from quillon.llm import langid, media, mixing, packing, pii, tokens
 from quillon.llm.common import read_table, whole_text
 
 
@@ -30,6 +30,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select(F.col("doc_id").cast("long"), langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to their sources' targets."""
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
@@ -46,6 +53,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pii": op4_pii,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
