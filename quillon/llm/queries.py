@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, media, mixing, packing, pii, tokens, topk
+from quillon.llm import jaccard, langid, media, mixing, packing, pii, tokens, topk
 from quillon.llm.common import read_table, whole_text
 
 
@@ -60,6 +60,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at 90 % of their three-word shingles."""
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an MPEG stream, read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", whole_text())
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLES: dict[str, str] = {
