@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import jaccard, langid, media, mixing, packing, pii, tokens, topk
+from quillon.llm import jaccard, langid, media, mixing, packing, pii, suffixes, tokens, topk
 from quillon.llm.common import read_table, whole_text
 
 
@@ -65,6 +65,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated 400-byte strings."""
+    return suffixes.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an MPEG stream, read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", whole_text())
@@ -80,6 +85,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLES: dict[str, str] = {
