@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import jaccard, langid, media, mixing, packing, pii, suffixes, tokens, topk
+from quillon.llm import jaccard, langid, lm, media, mixing, packing, pii, suffixes, tokens, topk
 from quillon.llm.common import read_table, whole_text
 
 
@@ -48,6 +48,28 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff bigram scores of every document against all of them."""
+    return lm.score_corpus(read_table(spark, sf_dir, "documents")).drop("mean_log")
+
+
+OP5 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS m, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+x AS (SELECT doc_id, m, i, w[i] AS word, w[i - 1] AS before FROM t),
+u AS (SELECT word, count(*) AS f FROM x GROUP BY word),
+b AS (SELECT before, word, count(*) AS f FROM x WHERE i > 1 GROUP BY before, word),
+l AS (SELECT word, CAST(round_even(ln(f) * 1000000, 0) AS BIGINT) AS log FROM u),
+lb AS (SELECT before, word, CAST(round_even(ln(f) * 1000000, 0) AS BIGINT) AS log FROM b),
+s AS (SELECT x.doc_id, sum(CASE WHEN i > 1 THEN lb.log ELSE l.log END - CASE WHEN i > 1 THEN lc.log ELSE 0 END) AS s
+      FROM x LEFT JOIN l ON x.word = l.word LEFT JOIN lb ON x.before = lb.before AND x.word = lb.word AND i > 1
+             LEFT JOIN l lc ON lc.word = x.before AND i > 1 GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+       CAST(CASE WHEN len(w) > 0 THEN s - CAST(round_even(ln((SELECT count(*) FROM x)) * 1000000, 0) AS BIGINT) ELSE 0 END AS BIGINT) AS log_score
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = read_table(spark, sf_dir, "documents")
@@ -82,6 +104,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pii": op4_pii,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
@@ -90,4 +113,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_top_k": OP1,
+    "op5_lm_scoring": OP5,
 }

@@ -53,8 +53,8 @@ def anchors_of(raw: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
         return none, none.astype(np.uint64), none.astype(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[raw] * powers(BASE, n), out=sums[1:])
-    inverse = powers(BASE_INVERSE, n)
-    hashes = mix64((sums[gram:] - sums[: n - gram + 1]) * inverse[: n - gram + 1] if gram else sums) if n > gram else None
+    inverse = powers(BASE_INVERSE, n + 1)
+    hashes = mix64((sums[gram:] - sums[: n - gram + 1]) * inverse[: n - gram + 1])
     at = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64((1 << 32) - 1)
     least = sliding_least((hashes & ~low) | (low - at), window - gram + 1)
