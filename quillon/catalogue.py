@@ -1,18 +1,570 @@
-"""All queries for the engine's operators, and their oracle SQL."""
+"""All queries for the engine's operators, and their oracle SQL.
+
+Names begin with the number in the operator inventory. ``same`` registers one portable text
+for both engines, ``pair`` a DataFrame query beside the oracle's text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from quillon.functions import documents as docs
+from quillon.functions import exact
+from quillon.operators.recursion import recursive_union, recursive_union_all, written
+from quillon.operators.windows import range_window, rows_window, top_per_group
+from quillon.session import sql_over, table
+from quillon.sources import files
+from quillon.sources.catalog import columns_of, tables_of
+from quillon.sources.store import VersionedTable, replay
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _agg_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,4)")).cast("decimal(38,4)").alias("sum_qty"))
+def same(name: str, text: str, *tables: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: sql_over(spark, sf_dir, text, *tables)
+    ORACLES[name] = text
+
+
+def pair(name: str, oracle: str | None) -> Callable[[Query], Query]:
+    def register(query: Query) -> Query:
+        QUERIES[name] = query
+        if oracle:
+            ORACLES[name] = oracle
+        return query
+
+    return register
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared folder of the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        written(spark, spark.range(1))  # sets a folder where none is
+        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/q-{uuid.uuid4().hex}"
+
+
+def D(x: str) -> str:
+    return f"CAST({x} AS DECIMAL(18,4))"
+
+
+# --- A. scans, sources, sinks -----------------------------------------------------------
+
+same("a1_full_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders", "orders")
+same("a2_projection_scan", "SELECT l_orderkey, l_linenumber FROM lineitem", "lineitem")
+same("a3_point_lookup", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 100", "orders")
+same("a4_prefix_scan", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 7", "lineitem")
+same("a5_prefix_range_scan", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 7 AND l_linenumber >= 2 AND l_linenumber < 5", "lineitem")
+same("a6_prefix_in_scan", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (1, 7, 100, 5000)", "lineitem")
+same("a7_secondary_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 10 AND o_custkey < 20 AND o_orderstatus <> 'F'", "orders")
+same("a9_count_all", "SELECT COUNT(*) AS n FROM lineitem", "lineitem")
+same("a10_constant_row", "SELECT 1 + 2 AS a, 'x' AS b, CAST(NULL AS BIGINT) AS c")
+same("a11_derived_table", f"SELECT s.o_custkey, s.total FROM (SELECT o_custkey, CAST(SUM({D('o_totalprice')}) AS DECIMAL(38,4)) AS total FROM orders GROUP BY o_custkey) s WHERE s.total > 300000", "orders")
+
+
+@pair("a8_ordered_scan", "SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 100 AND 400")
+def _ordered_scan(spark, sf_dir):
+    """A range of a table written in key order: row groups outside it are skipped."""
+    path = scratch(spark)
+    files.export_parquet(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, sort_by=["c_custkey"])
+    return spark.read.parquet(path).filter(F.col("c_custkey").between(100, 400)).orderBy("c_custkey")
+
+
+@pair("a12_information_schema", "SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal_position FROM information_schema.columns WHERE table_name IN ('region','nation','customer','supplier')")
+def _information_schema(spark, sf_dir):
+    names = ["region", "nation", "customer", "supplier"]
+    return columns_of(spark, {n: table(spark, sf_dir, n) for n in names}).select("table_name", "column_name", "ordinal_position")
+
+
+@pair("a12_information_schema_tables", "SELECT table_name, CAST(count(*) AS BIGINT) AS n_columns FROM information_schema.columns WHERE table_name IN ('orders','part') GROUP BY 1")
+def _information_schema_tables(spark, sf_dir):
+    return tables_of(spark, {n: table(spark, sf_dir, n) for n in ["orders", "part"]}).select("table_name", "n_columns")
+
+
+NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+@pair("a13_csv_import", NATION)
+def _csv_import(spark, sf_dir):
+    source, path = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), scratch(spark)
+    files.export_csv(source, path)
+    return files.import_csv(spark, path, source.schema, key=["n_nationkey"])
+
+
+@pair("a14_csv_export", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS c_name FROM customer")
+def _csv_export(spark, sf_dir):
+    source, path = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("c_name")), scratch(spark)
+    files.export_csv(source, path)
+    return files.import_csv(spark, path, source.schema)
+
+
+@pair("a15_json_lines_export", f"SELECT p_partkey, p_name, {D('p_retailprice')} AS price FROM part")
+def _json_export(spark, sf_dir):
+    source, path = table(spark, sf_dir, "part").select("p_partkey", "p_name", exact.decimal("p_retailprice").alias("price")), scratch(spark)
+    files.export_json(source, path)
+    return spark.read.schema(source.schema).json(path)
+
+
+@pair("a16_parquet_export", f"SELECT o_orderkey, {D('o_totalprice')} AS total FROM orders")
+def _parquet_export(spark, sf_dir):
+    path = scratch(spark)
+    files.export_parquet(table(spark, sf_dir, "orders").select("o_orderkey", exact.decimal("o_totalprice").alias("total")), path)
+    return spark.read.parquet(path)
+
+
+DUMP = """-- a dump
+SET NAMES utf8mb4;
+DROP TABLE IF EXISTS `legacy`;
+CREATE TABLE `legacy` (`id` int NOT NULL, `name` varchar(20) DEFAULT NULL, `price` decimal(10,2), PRIMARY KEY (`id`)) ENGINE=InnoDB;
+INSERT INTO `legacy` VALUES (1,'O\\'Hara',1.50),(2,'semi;colon',NULL);
+REPLACE INTO `legacy` (`id`,`name`) VALUES (2,'two');
+INSERT IGNORE INTO `legacy` VALUES (1,'late',9.99),(3,NULL,-3.25);
+"""
+
+
+@pair("a17_dump_import", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'O''Hara', CAST(1.50 AS DECIMAL(18,2))), (2, 'two', NULL), (3, NULL, -3.25)) t(id, name, price)")
+def _dump_import(spark, sf_dir):
+    return files.read_dump(spark, DUMP)["legacy"]
+
+
+same("a18_values", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, 'b'), (3, NULL)) t(id, name)")
+
+
+@pair("a19_backup_restore_point_in_time", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'moved' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def _backup(spark, sf_dir):
+    """A snapshot, an update, a deletion; restored to just after the update."""
+    path = scratch(spark)
+    t = VersionedTable.create(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), f"{path}/t", ["n_nationkey"])
+    t.backup(f"{path}/backup")
+    lsn = t.update(F.col("n_regionkey") == 1, {"n_name": F.lit("moved")})
+    t.delete(F.col("n_regionkey") == 2)
+    t.restore(f"{path}/backup", to_lsn=lsn)
+    return t.read()
+
+
+# --- B. projections, filters, predicates ------------------------------------------------
+
+same("b1_projection", "SELECT n.n_name, n.n_regionkey FROM nation n", "nation")
+same("b2_star", "SELECT * FROM region", "region")
+same("b3_alias", "SELECT c.c_custkey AS id, c.c_mktsegment AS segment FROM customer AS c", "customer")
+same("b4_arithmetic", "SELECT o_orderkey, o_orderkey * (o_custkey - 1) AS a, -o_orderkey AS b, o_orderkey % 7 AS c, +o_custkey AS d FROM orders", "orders")
+same("b5_comparison", "SELECT o_orderkey FROM orders WHERE o_orderkey >= o_custkey + 1 AND o_custkey <> 5", "orders")
+same("b6_conjunction", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size <= 30 AND p_brand = 'Brand#11'", "part")
+same("b7_between", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 10", "part")
+same("b8_in_list", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", "orders")
+same("b9_row_value_in", "SELECT COUNT(*) AS n FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A','F'), ('N','O'))", "lineitem")
+same("b10_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A_%' AND p_name LIKE 'p%'", "part")
+same("b11_in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "orders", "customer")
+same("b12_exists", "SELECT COUNT(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1)", "orders", "customer")
+same("b13_scalar_subquery", f"SELECT p_partkey FROM part WHERE {D('p_retailprice')} > (SELECT SUM({D('p_retailprice')}) / COUNT(*) FROM part)", "part")
+same("b14_case", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' AND o_custkey > 700 THEN 'open' ELSE '' END AS state FROM orders", "orders")
+same("b17_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "orders")
+same("b18_ordered_distinct", "SELECT DISTINCT l_shipdate FROM lineitem ORDER BY l_shipdate", "lineitem")
+
+
+@pair("b4_quotient", "SELECT o_orderkey, CAST(CAST(o_orderkey * 10000 // (o_custkey + 3) AS DECIMAL(18,0)) / 10000 AS DECIMAL(18,4)) AS q FROM orders")
+def _quotient(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", exact.divide(F.col("o_orderkey"), F.col("o_custkey") + 3).alias("q"))
+
+
+@pair("b4_decimal_product", "SELECT l_orderkey, l_linenumber, CAST(trunc(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) * 100) / 100 AS DECIMAL(18,2)) AS p FROM lineitem")
+def _product(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", exact.multiply(exact.decimal("l_extendedprice", 2), exact.decimal("l_discount", 2), 2).alias("p"))
+
+
+@pair("b15_variables", "SELECT o_orderkey FROM orders WHERE o_custkey = 42")
+def _variables(spark, sf_dir):
+    return sql_over(spark, sf_dir, "SELECT o_orderkey FROM orders WHERE o_custkey = :v", "orders", v=42)
+
+
+@pair("b16_prepared", "SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'MACHINERY'")
+def _prepared(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT c_custkey FROM customer WHERE c_nationkey = ? AND c_mktsegment = ?", args=[3, "MACHINERY"])
+
+
+# --- C. joins ---------------------------------------------------------------------------
+
+same("c1_inner_theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
+same("c2_left_join", "SELECT n.n_name, COUNT(c.c_custkey) AS n FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey AND c.c_mktsegment = 'BUILDING' GROUP BY n.n_name", "nation", "customer")
+same("c3_cartesian", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n", "region", "nation")
+same("c4_lookup_join", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey", "orders", "customer")
+same("c5_prefix_range_join", "SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber >= a.l_linenumber - 2 AND b.l_linenumber < a.l_linenumber", "lineitem")
+same("c6_join_mixed", "SELECT COUNT(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal", "orders", "customer")
+same("c7_derived_join", "SELECT c.c_name, d.n FROM customer c JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) d ON d.o_custkey = c.c_custkey WHERE d.n > 15", "customer", "orders")
+same("c8_multi_join", f"SELECT r.r_name, CAST(SUM({D('l.l_extendedprice')}) AS DECIMAL(38,4)) AS total FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name", "lineitem", "orders", "customer", "nation", "region")
+same("c9_self_join", "SELECT COUNT(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", "supplier")
+
+
+@pair("c10_semi_join", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)")
+def _semi(spark, sf_dir):
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").filter("p_size = 1")
+    return lines.join(parts, lines["l_partkey"] == parts["p_partkey"], "left_semi").select("l_orderkey", "l_linenumber")
+
+
+# --- D. aggregation ---------------------------------------------------------------------
+
+
+@pair("agg_pricing", f"SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM({D('l_quantity')}) AS DECIMAL(38,4)) AS sum_qty FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+def _agg_pricing(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(exact.decimal("l_quantity")).cast("decimal(38,4)").alias("sum_qty")).orderBy("l_returnflag", "l_linestatus")
+
+
+same("d1_count_rows", "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 'O'", "orders")
+same("d2_count_expression", "SELECT COUNT(CASE WHEN p_size > 25 THEN p_size END) AS n FROM part", "part")
+same("d3_count_distinct", "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag", "lineitem")
+same("d4_sum", f"SELECT CAST(SUM(l_linenumber) AS BIGINT) AS a, CAST(SUM(DISTINCT l_linenumber) AS BIGINT) AS b, CAST(SUM({D('l_tax')}) AS DECIMAL(38,4)) AS c FROM lineitem", "lineitem")
+same("d6_min_max", "SELECT MIN(o_orderdate) AS a, MAX(o_orderdate) AS b, MIN(o_orderpriority) AS c, MAX(o_custkey) AS d FROM orders", "orders")
+same("d7_aggregate_expression", f"SELECT l_linestatus, CAST(SUM(CAST({D('l_extendedprice')} * (1 - {D('l_discount')}) AS DECIMAL(30,8))) AS DECIMAL(38,8)) AS revenue FROM lineitem GROUP BY l_linestatus", "lineitem")
+same("d8_global_aggregate", "SELECT COUNT(*) AS n, MIN(p_size) AS lo, MAX(p_size) AS hi FROM part", "part")
+same("d9_group_by", "SELECT l_suppkey, l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey, l_returnflag", "lineitem")
+same("d10_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) BETWEEN 12 AND 15 AND MAX(o_orderkey) > 1000", "orders")
+same("d11_having_global", "SELECT COUNT(*) AS n FROM orders HAVING COUNT(*) > 10", "orders")
+same("d13_order_groups", "SELECT p_brand, p_size, COUNT(*) AS n FROM part GROUP BY p_brand, p_size ORDER BY p_brand, p_size DESC LIMIT 50", "part")
+same("d8_empty_aggregate", "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, MIN(o_custkey) AS m FROM orders WHERE o_orderkey < 0", "orders")
+
+
+@pair("d5_average", "SELECT o_orderstatus, CAST(SUM(o_custkey) // COUNT(o_custkey) AS BIGINT) AS a FROM orders GROUP BY 1")
+def _average(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(exact.average("o_custkey").alias("a"))
+
+
+@pair("d5_decimal_average", "SELECT l_returnflag, CAST(trunc(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) * 100 // COUNT(*)) / 100 AS DECIMAL(18,2)) AS a FROM lineitem GROUP BY 1")
+def _decimal_average(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(exact.decimal_average(exact.decimal("l_extendedprice", 2), 2).alias("a"))
+
+
+@pair("d12_having_rows", "SELECT o_orderkey FROM orders WHERE o_orderkey > 14000")
+def _having_rows(spark, sf_dir):
+    """HAVING without an aggregate filters rows."""
+    return table(spark, sf_dir, "orders").select("o_orderkey").filter("o_orderkey > 14000")
+
+
+@pair("d15_inferred_schema", "SELECT n_regionkey, CAST(COUNT(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+def _inferred(spark, sf_dir):
+    path = scratch(spark)
+    table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# --- E. windows -------------------------------------------------------------------------
+
+TOTAL = D("o_totalprice")
+same("e1_row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders", "orders")
+QUERIES["e1_row_number"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("rn"))
+
+
+@pair("e2_e3_ranks", "SELECT p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part")
+def _ranks(spark, sf_dir):
+    w = Window.partitionBy("p_brand").orderBy("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"))
+
+
+@pair("e4_window_aggregates", f"SELECT o_orderkey, COUNT(*) OVER w AS n, CAST(SUM({TOTAL} + 1) OVER w AS DECIMAL(38,4)) AS s, MIN(o_orderkey) OVER w AS lo, MAX(o_orderkey) OVER w AS hi, CAST(SUM(o_orderkey) OVER w // COUNT(*) OVER w AS BIGINT) AS a FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def _window_aggregates(spark, sf_dir):
+    w = rows_window(["o_custkey"], ["o_orderkey"])
+    total = exact.decimal("o_totalprice")
+    average = F.call_function("div", F.sum("o_orderkey").over(w), F.count("*").over(w))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(w).alias("n"), F.sum(total + 1).over(w).cast("decimal(38,4)").alias("s"), F.min("o_orderkey").over(w).alias("lo"), F.max("o_orderkey").over(w).alias("hi"), average.alias("a"))
+
+
+@pair("e5_partition_by", "SELECT l_orderkey, l_linenumber, COUNT(*) OVER (PARTITION BY l_returnflag, l_suppkey) AS n FROM lineitem")
+def _partition(spark, sf_dir):
+    w = Window.partitionBy("l_returnflag", "l_suppkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.count("*").over(w).alias("n"))
+
+
+@pair("e6_window_order", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC, o_orderkey) AS rn FROM orders")
+def _window_order(spark, sf_dir):
+    w = Window.partitionBy("o_orderstatus").orderBy(F.desc("o_orderpriority"), "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("rn"))
+
+
+@pair("e7_default_frame", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+def _default_frame(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.sum("o_orderkey").over(rows_window(["o_custkey"], ["o_orderkey"])).alias("s"))
+
+
+@pair("e8_rows_frame", f"SELECT o_orderkey, CAST(SUM({TOTAL}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS DECIMAL(38,4)) AS s, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING) AS n FROM orders")
+def _rows_frame(spark, sf_dir):
+    a, b = rows_window(["o_custkey"], ["o_orderkey"], -2, 2), rows_window(["o_custkey"], ["o_orderkey"], 2, 3)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.sum(exact.decimal("o_totalprice")).over(a).cast("decimal(38,4)").alias("s"), F.count("*").over(b).alias("n"))
+
+
+@pair("e9_range_frame", "SELECT o_orderkey, CAST(SUM(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+def _range_frame(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.sum("o_custkey").over(range_window(["o_orderstatus"], "o_orderkey", 10, 0)).alias("s"))
+
+
+@pair("e10_window_over_groups", "SELECT o_orderpriority, n, RANK() OVER (ORDER BY n, o_orderpriority) AS r FROM (SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1) g")
+def _window_over_groups(spark, sf_dir):
+    groups = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return groups.withColumn("r", F.rank().over(Window.orderBy("n", "o_orderpriority")).cast("long"))
+
+
+# --- F. sort, limit, top-k --------------------------------------------------------------
+
+same("f1_order_by", "SELECT c_custkey, c_name FROM customer ORDER BY c_nationkey, c_custkey DESC", "customer")
+same("f2_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 35", "orders")
+same("f4_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", "orders")
+
+
+@pair("f5_limit", "SELECT CAST(10 AS BIGINT) AS n")
+def _limit(spark, sf_dir):
+    """Any ten rows; their number is what is fixed."""
+    return table(spark, sf_dir, "orders").limit(10).agg(F.count("*").alias("n"))
+
+
+@pair("f6_top_k_per_group", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) x WHERE rn <= 3")
+def _top_k(spark, sf_dir):
+    return top_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", F.col("rn").cast("long"))
+
+
+# --- G. common table expressions --------------------------------------------------------
+
+same("g1_cte", "WITH a AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT o_custkey FROM a WHERE n > 12) SELECT c.c_name FROM customer c JOIN b ON b.o_custkey = c.c_custkey", "orders", "customer")
+CHAIN = "WITH RECURSIVE r(id, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT r.id * 2, r.depth + 1 FROM r WHERE r.id < 10000) SELECT id, depth FROM r"
+
+
+@pair("g2_recursive_union_all", CHAIN)
+def _recursive_all(spark, sf_dir):
+    return recursive_union_all(spark, CHAIN)
+
+
+@pair("g2_recursive_join", "WITH RECURSIVE t(id, lvl) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, t.lvl + 1 FROM t JOIN nation n ON n.n_nationkey = t.id * 2 + 1 OR n.n_nationkey = t.id * 2 + 2) SELECT id, lvl FROM t")
+def _recursive_join(spark, sf_dir):
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return recursive_union_all(spark, ORACLES["g2_recursive_join"])
+
+
+@pair("g3_recursive_union", "WITH RECURSIVE e AS (SELECT c_custkey % 50 AS src, (c_custkey * 7 + c_nationkey) % 50 AS dst FROM customer), r(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+def _recursive_set(spark, sf_dir):
+    """Reachability over a graph with cycles."""
+    edges = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 50).alias("dst")).distinct()
+    start = spark.range(1, 2).select(F.col("id").alias("node"))
+    return recursive_union(start, lambda new: new.join(edges, new["node"] == edges["src"]).select("dst"))
+
+
+# --- H. scalar functions ----------------------------------------------------------------
+
+
+@pair("h1_json_valid", "SELECT event_id, CAST(json_valid(CASE WHEN event_id % 3 = 0 THEN substr(props, 2) ELSE props END) AS BIGINT) AS v FROM events")
+def _json_valid(spark, sf_dir):
+    broken = F.when(F.col("event_id") % 3 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", docs.valid(broken).alias("v"))
+
+
+@pair("h2_h3_json_extract_unquote", None)
+def _json_extract(spark, sf_dir):
+    found = docs.extract("props", "$.k")
+    return table(spark, sf_dir, "events").select("event_id", found.alias("quoted"), docs.unquote(found).alias("plain"))
+
+
+@pair("h4_json_type", None)
+def _json_type(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", docs.kind("props").alias("t"))
+
+
+@pair("h5_json_length", "SELECT event_id, CAST(len(json_keys(props)) AS BIGINT) AS n FROM events")
+def _json_length(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", docs.length("props").alias("n"))
+
+
+@pair("h6_h7_json_build", """SELECT n_nationkey, '{"name": "' || n_name || '", "region": ' || n_regionkey || ', "none": null}' AS o, '[' || n_nationkey || ', "' || n_name || '"]' AS a FROM nation""")
+def _json_build(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", docs.build_object("name", F.col("n_name"), "region", F.col("n_regionkey"), "none", F.lit(None).cast("string")).alias("o"), docs.build_array(F.col("n_nationkey"), F.col("n_name")).alias("a"))
+
+
+@pair("h8_json_set", None)
+def _json_set(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", docs.assign("props", "$.seen", F.col("user_id")).alias("doc"))
+
+
+@pair("h3_json_path_native", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+def _json_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", docs.unquoted("props", "$.page").alias("page"))
+
+
+same("h11_coercion", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey AS VARCHAR(20)) AS t FROM orders", "orders")
+QUERIES["h11_coercion"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderkey").cast("string").alias("t"))
+same("h12_decimal", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS p2, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(18,0)) AS p0 FROM orders", "orders")
+
+
+@pair("h13_dates", "SELECT * FROM (VALUES ('2024-02-29', DATE '2024-02-29'), ('2023-02-29', NULL), ('2024-1-xx', NULL)) t(s, d)")
+def _dates(spark, sf_dir):
+    return spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("2024-1-xx",)], "s string").select("s", F.expr("try_to_date(s, 'yyyy-MM-dd')").alias("d"))
+
+
+same("h14_hex", "SELECT n_nationkey, hex(n_name) AS h FROM nation", "nation")
+
+
+# --- I. statements that change rows -----------------------------------------------------
+
+CUSTOMER = "c_custkey", "c_name", "c_nationkey"
+
+
+def _customers(spark, sf_dir) -> VersionedTable:
+    rows = table(spark, sf_dir, "customer").select(*CUSTOMER).filter("c_custkey <= 500")
+    return VersionedTable.create(rows, scratch(spark), ["c_custkey"])
+
+
+@pair("i1_insert", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500 UNION ALL VALUES (CAST(100001 AS BIGINT), 'new', 3), (100002, 'new too', NULL)")
+def _insert(spark, sf_dir):
+    t = _customers(spark, sf_dir)
+    t.insert(spark.createDataFrame([(100001, "new", 3), (100002, "new too", None)], "c_custkey long, c_name string, c_nationkey int"))
+    return t.read()
+
+
+@pair("i2_insert_select", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500 UNION ALL SELECT c_custkey + 200000, c_name, c_nationkey FROM customer WHERE c_nationkey = 1")
+def _insert_select(spark, sf_dir):
+    t = _customers(spark, sf_dir)
+    t.insert(table(spark, sf_dir, "customer").filter("c_nationkey = 1").select((F.col("c_custkey") + 200000).alias("c_custkey"), "c_name", "c_nationkey"))
+    return t.read()
+
+
+@pair("i3_create_as_select", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY 1")
+def _ctas(spark, sf_dir):
+    counted = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return VersionedTable.create(counted, scratch(spark), ["c_nationkey"]).read()
+
+
+@pair("i4_upsert", "SELECT c_custkey, CASE WHEN c_custkey BETWEEN 400 AND 500 THEN c_name || '!' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey <= 500 UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey BETWEEN 501 AND 600")
+def _upsert(spark, sf_dir):
+    t = _customers(spark, sf_dir)
+    t.upsert(table(spark, sf_dir, "customer").select(*CUSTOMER).filter("c_custkey between 400 and 600"), {"c_name": F.concat("c_name", F.lit("!"))})
+    return t.read()
+
+
+@pair("i5_replace", "SELECT c_custkey, CASE WHEN c_custkey BETWEEN 400 AND 600 THEN 'r' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey <= 600")
+def _replace(spark, sf_dir):
+    t = _customers(spark, sf_dir)
+    t.replace(table(spark, sf_dir, "customer").select("c_custkey", F.lit("r").alias("c_name"), "c_nationkey").filter("c_custkey between 400 and 600"))
+    return t.read().filter("c_custkey <= 600")
+
+
+QUERIES["i5_replace"] = _replace
+
+
+@pair("i6_update", "SELECT c_custkey, CASE WHEN c_nationkey = 2 THEN 'n' || (c_nationkey + 1) ELSE c_name END AS c_name, CASE WHEN c_nationkey = 2 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey <= 500")
+def _update(spark, sf_dir):
+    """The second assignment sees the first."""
+    t = _customers(spark, sf_dir)
+    t.update(F.col("c_nationkey") == 2, {"c_nationkey": F.col("c_nationkey") + 1, "c_name": F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))})
+    return t.read()
+
+
+@pair("i7_delete", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500 AND NOT (c_nationkey < 5)")
+def _delete(spark, sf_dir):
+    t = _customers(spark, sf_dir)
+    t.delete(F.col("c_nationkey") < 5)
+    return t.read()
+
+
+@pair("i8_key_check", "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
+def _key_check(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@pair("i9_reference_check", "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 2)")
+def _reference_check(spark, sf_dir):
+    from quillon.sources.store import orphans
+
+    return orphans(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").filter("c_nationkey > 2"), "c_custkey").select("o_orderkey")
+
+
+# --- J. definitions ---------------------------------------------------------------------
+
+
+@pair("j2_alter_table", "SELECT c_custkey, c_name AS title, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(0 AS BIGINT) AS points FROM customer WHERE c_custkey <= 500")
+def _alter(spark, sf_dir):
+    t = _customers(spark, sf_dir)
+    t.alter(lambda df: df.withColumnRenamed("c_name", "title").withColumn("c_nationkey", F.col("c_nationkey").cast("string")).withColumn("points", F.lit(0).cast("long")))
+    return t.read()
+
+
+@pair("j5_view", "SELECT n_name, COUNT(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def _view(spark, sf_dir):
+    sql_over(spark, sf_dir, "SELECT n_name, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey", "nation", "customer").createOrReplaceTempView("v_members")
+    return spark.sql("SELECT n_name, COUNT(*) AS n FROM v_members GROUP BY n_name")
+
+
+@pair("j6_j7_materialised_view", "SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_custkey <= 500 AND c_custkey % 2 = 0 GROUP BY 1")
+def _matview(spark, sf_dir):
+    from quillon.plans.matviews import MaterialisedView
+
+    t = _customers(spark, sf_dir)
+    view = MaterialisedView(spark, scratch(spark), {"t": t}, lambda s: s["t"].groupBy("c_nationkey").agg(F.count("*").alias("n")))
+    view.refresh()
+    t.delete(F.col("c_custkey") % 2 == 1)
+    view.refresh()
+    return view.read()
+
+
+@pair("j8_incremental_refresh", "SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'seven' ELSE c_name END AS c_name FROM customer WHERE c_custkey <= 500 AND c_nationkey > 3 AND c_custkey <> 11")
+def _incremental(spark, sf_dir):
+    from quillon.plans.matviews import MaterialisedView
+
+    t = _customers(spark, sf_dir)
+    view = MaterialisedView(spark, scratch(spark), {"t": t}, lambda s: s["t"].filter("c_nationkey > 3").select("c_custkey", "c_name"), row_key=["c_custkey"])
+    view.refresh()
+    t.update(F.col("c_custkey") == 7, {"c_name": F.lit("seven")})
+    t.delete(F.col("c_custkey") == 11)
+    view.refresh()
+    return view.read()
+
+
+# --- L. change streams ------------------------------------------------------------------
+
+
+def _changed(spark, sf_dir) -> VersionedTable:
+    t = _customers(spark, sf_dir)
+    t.update(F.col("c_nationkey") == 4, {"c_name": F.lit("four")})
+    t.delete(F.col("c_nationkey") == 5)
+    return t
+
+
+@pair("l2_change_events", "SELECT CAST(2 AS BIGINT) AS lsn, 'PUT' AS op, c_custkey FROM customer WHERE c_custkey <= 500 AND c_nationkey = 4 UNION ALL SELECT 3, 'DELETE', c_custkey FROM customer WHERE c_custkey <= 500 AND c_nationkey = 5")
+def _events(spark, sf_dir):
+    """The feed after the first statement, drained by a stream."""
+    from quillon.streaming.changefeed import drain, subscribe
+
+    t, path = _changed(spark, sf_dir), scratch(spark)
+    drain(subscribe(t, from_lsn=1, keys_only=True), lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/b={n}"), f"{path}-at")
+    return spark.read.parquet(path).select("lsn", "op", "c_custkey")
+
+
+@pair("l4_filtered_events", "SELECT CAST(3 AS BIGINT) AS lsn, c_custkey FROM customer WHERE c_custkey <= 500 AND c_nationkey = 5")
+def _filtered_events(spark, sf_dir):
+    return _changed(spark, sf_dir).changes().filter("op = 'DELETE'").select("lsn", "c_custkey")
+
+
+@pair("l6_show_events", "SELECT CAST(1 AS BIGINT) AS lsn, c_custkey FROM customer WHERE c_custkey < 20")
+def _show_events(spark, sf_dir):
+    from quillon.streaming.changefeed import events
+
+    return events(_changed(spark, sf_dir), limit=20).select("lsn", "c_custkey")
+
+
+@pair("l7_latest_state", "SELECT c_custkey, CASE WHEN c_nationkey = 4 THEN 'four' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey <= 500 AND c_nationkey <> 5")
+def _latest(spark, sf_dir):
+    from quillon.streaming.changefeed import Replica, drain, subscribe
+
+    t, path = _changed(spark, sf_dir), scratch(spark)
+    replica = Replica(spark, f"{path}/replica", ["c_custkey"], t.read())
+    drain(subscribe(t), replica.apply, f"{path}/at")
+    return replica.read()
 
 
-QUERIES["agg_pricing"] = _agg_pricing
-ORACLES["agg_pricing"] = "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(SUM(CAST(l_quantity AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS sum_qty FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"
+@pair("l7_latest_state_batch", ORACLES["l7_latest_state"])
+def _latest_batch(spark, sf_dir):
+    t = _changed(spark, sf_dir)
+    return replay(t.read().limit(0), t.changes(), ["c_custkey"])
