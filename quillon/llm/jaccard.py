@@ -4,8 +4,8 @@ A set's sketch flips one bit for each member (its hash names it), so the Hamming
 of two sketches never exceeds the symmetric difference of the sets. Sets linked at
 ``percent`` with at most a members in the smaller differ in d = (100 - percent) a / percent
 at most, and their sizes by no more than that ratio. So within a size band the sketch is cut
-into d + 1 words of 256 bits, of which at least one must be equal (pigeonhole): equal words
-(as a linear 64-bit hash) join. Pairs are then held against a second, narrower sketch and
+into d + 1 words of 2^32 bits, of which at least one must be equal (pigeonhole): equal words
+(held as a linear 64-bit hash, as they are sparse) join. Pairs are then held against a second, narrower sketch and
 verified on their texts.
 
 Buckets of equal words may be as large as the largest group of near copies, so no bucket's
@@ -25,12 +25,19 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, mix64, slices
 from quillon.llm.graph import components
+from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import shingle_sets
 
 #: Of the narrow sketch in 64-bit words, of a band's growth, and the largest bucket whose
 #: pairs of components are made directly.
-SKETCH, GROWTH, SMALL = 8, 1.4, 128
-WORD_BITS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+SKETCH, GROWTH, SMALL = 8, 1.2, 4096
+#: A sketch word of so many members at most is weak: many unrelated sets share it.
+WEAK = 0
+#: Packed entries that a task sends at once, entries of a part, and rows of one bucket that
+#: go packed from there; others of a hot bucket go as rows, which Spark can split.
+ENTRIES, PART, PACKED = 2_000_000, 3_000_000, 16
+#: Rows that are small enough for every task to have them all.
+FEW = 500_000
 
 
 class Bands:
@@ -46,23 +53,31 @@ class Bands:
         return smaller * (100 - self.percent) // self.percent
 
     def of(self, n: int) -> list[int]:
-        """Bands that a set of n members takes part in: its own, and the one before if a
-        smaller partner may be there."""
-        own = int(np.searchsorted(self.least, n, side="right")) - 1
-        return [own] if own == 0 or n * self.percent > (self.least[own] - 1) * 100 else [own - 1, own]
+        """Bands that a set of n members takes part in: its own, and those that the smaller
+        set of a linked pair may be in."""
+        first, own = (int(np.searchsorted(self.least, m, side="right")) - 1 for m in (-(-n * self.percent // 100), n))
+        return list(range(first, own + 1))
 
-    def words(self, band: int) -> int:
-        return self.difference(self.least[band + 1] - 1) + 1
+    def words(self, band: int) -> tuple[int, int]:
+        """Words of a band's sketch, and its spare: a linked pair differs in at most as
+        many words as members, so spare + 1 words are equal. The spare is about what a set of
+        random members leaves weak."""
+        most = self.difference(self.least[band + 1] - 1)
+        share = np.exp(-self.least[band + 1] / (most + 1.0))
+        spare = int(1.5 * share * most + 3 * np.sqrt(share * most)) if most else 0
+        return most + 1 + spare if most else 1, spare
 
 
 def signatures(members: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
     """The hashed sketch words of a set in all of its bands. Words of a band whose pairs
-    would have to be equal are left out: equal sets are one node."""
+    would have to be equal are left out: equal sets are one node. A set with no more than
+    ``spare`` weak words leaves these out too: a linked pair has spare + 1 equal words, so
+    one that isn't weak, and equal words are weak in both sets or in neither."""
     out = []
     h = mix64(members ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if seed else members
-    flips = WORD_BITS[(h & np.uint64(255)).astype(np.int64)]
+    flips = mix64(h & np.uint64(0xFFFFFFFF))  # names the bit of a word: a linear hash of it
     for band in bands.of(len(members)):
-        n = bands.words(band)
+        n, spare = bands.words(band)
         if n == 1:
             continue
         at = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -73,7 +88,9 @@ def signatures(members: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
         else:
             np.bitwise_xor.at(words, at, flips)
         name = np.uint64((band << 40) + (seed << 56)) + np.arange(n, dtype=np.uint64)
-        out.append(mix64(words + mix64(name)))
+        hashed = mix64(words + mix64(name))
+        weak = np.bincount(at, minlength=n) <= WEAK
+        out.append(hashed[~weak] if int(weak.sum()) <= spare else hashed)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -82,7 +99,7 @@ def narrow_sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-NODES = "nid long, doc_id long, tid binary, key binary, n long, sketch array<long>, words array<long>"
+SENT = "nid long, doc_id long, tid binary, key binary, n long, sketch array<long>, part long, packed binary, bucket long"
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -92,33 +109,85 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def nodes_of(texts: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """A row for each document: its set's key (equal for equal sets), size and sketches."""
+def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame:
+    """Three kinds of rows. For each document its set's key (equal for equal sets), size
+    and narrow sketch. For stretches of documents and each part of the hash space the
+    words in it, packed, with their documents (relative to nid). And of words that very
+    many documents of a stretch share, the documents that weren't packed."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        nid = TaskContext.get().partitionId() << 33
+        nid = start = TaskContext.get().partitionId() << 33
+        words, owners, held = [], [], 0
+
+        def flush():
+            hashes, rows = np.concatenate(words), np.concatenate(owners)
+            by = np.argsort(hashes, kind="stable")
+            hashes, rows = hashes[by], rows[by]
+            head = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            nth = np.arange(len(hashes)) - np.repeat(head, np.diff(np.r_[head, len(hashes)]))
+            out = nth >= PACKED
+            yield _sent(nid=rows[out] + start, bucket=hashes[out].view(np.int64))
+            hashes, rows = hashes[~out], rows[~out]
+            cut, number = ranges(hashes, parts)
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            yield _sent(nid=np.full(len(spans), start), part=number, n=np.diff(cut), packed=[pack(hashes[a:b], rows[a:b]) for a, b in spans])
+
         for batch in slices(batches, most=2 << 20):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            ids = np.arange(nid, nid + len(sets))
+            yield _sent(nid=np.arange(nid, nid + len(sets)), doc_id=batch.column(0), tid=batch.column(1), key=keys, n=[len(s) for s in sets], sketch=_lists([narrow_sketch(s) for s in sets]))
+            for i, members in enumerate(sets):
+                found = signatures(members, bands, 0)
+                if len(found):
+                    words.append(found)
+                    owners.append(np.full(len(found), nid - start + i))
+                    held += len(found)
             nid += len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists([narrow_sketch(s) for s in sets]), _lists([signatures(s, bands, 0) for s in sets])],
-                names=["nid", "doc_id", "tid", "key", "n", "sketch", "words"],
-            )
+            if held >= ENTRIES:
+                yield from flush()
+                words, owners, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return texts.select("doc_id", "tid", "text").mapInArrow(run, SENT)
+
+
+KINDS = {"nid": pa.int64(), "doc_id": pa.int64(), "tid": pa.binary(), "key": pa.binary(), "n": pa.int64(), "sketch": pa.list_(pa.int64()), "part": pa.int64(), "packed": pa.binary(), "bucket": pa.int64()}
+
+
+def _sent(**columns) -> pa.RecordBatch:
+    n = len(columns["nid"])
+    made = [c if isinstance(c := columns.get(name), pa.Array) else pa.nulls(n, kind) if c is None else pa.array(c, kind) for name, kind in KINDS.items()]
+    return pa.RecordBatch.from_arrays(made, names=list(KINDS))
+
 
-    return texts.select("doc_id", "tid", "text").mapInArrow(run, NODES)
+def shared_words(table: pa.Table) -> pa.Table:
+    """The rows of a part whose word more than one of them has."""
+    parts = [(unpack(p, n, 1), start) for p, n, start in zip(table.column("packed").to_pylist(), table.column("n").to_pylist(), table.column("nid").to_pylist(), strict=True)]
+    hashes = np.concatenate([p[0] for p, _ in parts])
+    nids = np.concatenate([p[1].astype(np.int64) + start for p, start in parts])
+    by = np.argsort(hashes, kind="stable")
+    hashes, nids = hashes[by], nids[by]
+    like = np.zeros(len(hashes), bool)
+    like[1:] = hashes[1:] == hashes[:-1]
+    like[:-1] |= like[1:]
+    return pa.table({"bucket": pa.array(hashes[like].view(np.int64)), "nid": pa.array(nids[like])})
 
 
 class Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent, self.bands = width, percent, Bands(percent)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("tid"), F.col("text"))
-        self.rows = materialise(nodes_of(self.texts, width, self.bands), "sets")
-        self.groups = self.rows.filter("n > 0").groupBy("key").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least"))
-        self.nodes = materialise(self.rows.select("nid", "tid", "n", "sketch", "words").join(self.groups.select("nid"), "nid", "left_semi"), "nodes")
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        # about a shingle for each six bytes, in fewer words by the linked share
+        parts = max(1, size * (100 - percent) * 2 // (600 * PART))
+        self.sent = materialise(sent_by(self.texts, width, self.bands, parts), "sets")
+        self.rows = self.sent.filter("packed is null and bucket is null").select("nid", "doc_id", "tid", "key", "n", "sketch")
+        groups = self.rows.filter("n > 0").groupBy("key").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+        self.groups = materialise(groups, "keys")
+        self.nodes = self.rows.select("nid", "tid", "n", "sketch")
 
     # --- pairs
 
@@ -137,9 +206,8 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are linked, counted on their texts."""
         pairs = materialise(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(self.nodes.select("nid", "tid"), "nid")
-        found = self.texts.select("tid", "text").join(wanted.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-        texts = materialise(wanted.join(found, "tid").select("nid", "text"), "texts")
+        nids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        texts = materialise(self.texts_of(nids).select("nid", "text"), "texts")
         left = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         width, percent = self.width, self.percent
@@ -157,15 +225,29 @@ class Join:
     # --- buckets
 
     def members(self) -> DataFrame:
-        """bucket and nid, of buckets with more than one node."""
-        every = self.nodes.select("nid", F.explode("words").alias("bucket"))
-        shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        return materialise(every.join(shared, "bucket"), "members")
+        """bucket, nid and n (rows of the bucket), of buckets with more than one node."""
+        packed = self.sent.filter("packed is not null").select("part", "nid", "n", "packed")
+        found = packed.groupBy("part").applyInArrow(shared_words, "bucket long, nid long")
+        found = found.unionByName(self.sent.filter("bucket is not null").select("bucket", "nid"))
+        # copies of one set are one node
+        first = self.groups.filter("copies > 1").select("key", F.col("nid").alias("first"))
+        copies = self.rows.select("key", F.col("nid")).join(first, "key").filter("nid <> first").select("nid", "first")
+        nodes = found.join(copies, "nid", "left").select("bucket", F.coalesce("first", "nid").alias("nid")).distinct()
+        nodes = materialise(nodes, "shared")
+        several = nodes.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        return materialise(nodes.join(several, "bucket"), "members")
+
+    def texts_of(self, nids: DataFrame) -> DataFrame:
+        """nid, tid and text of nodes. Few of them go to every task that reads texts; of
+        more, the texts are shuffled."""
+        wanted = materialise(nids.join(self.nodes.select("nid", "tid"), "nid"), "wanted")
+        tids = wanted.select("tid").distinct()
+        tids = F.broadcast(tids) if wanted.count() <= FEW else tids
+        found = self.texts.select("tid", "text").join(tids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+        return wanted.join(found, "tid")
 
     def dealt_again(self, members: DataFrame, seed: int) -> DataFrame:
         """The members of large buckets by the words of another sketch as well."""
-        wanted = members.select("nid").distinct().join(self.nodes.select("nid", "tid"), "nid")
-        found = self.texts.select("tid", "text").join(wanted.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
         width, bands = self.width, self.bands
 
         def run(batches):
@@ -173,7 +255,7 @@ class Join:
                 sets = shingle_sets(batch.column(1), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists([signatures(s, bands, seed) for s in sets])], names=["nid", "words"])
 
-        again = wanted.join(found, "tid").select("nid", "text").mapInArrow(run, "nid long, words array<long>")
+        again = self.texts_of(members.select("nid").distinct()).select("nid", "text").mapInArrow(run, "nid long, words array<long>")
         finer = members.join(again, "nid").select("nid", F.explode("words").alias("word"), "bucket").select("nid", F.xxhash64("bucket", "word").alias("bucket"))
         shared = finer.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         return materialise(finer.join(shared, "bucket"), "members")
@@ -201,7 +283,7 @@ class Join:
         met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & self.close("x", "y"))
         return met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
 
-    def links(self, rounds: int = 3) -> DataFrame:
+    def links(self, rounds: int = 2) -> DataFrame:
         """Verified links that connect what all links connect."""
         members = self.members()
         found = self.verified(self.sketched(self.to_hubs(members)))

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, mix64, slices
+from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import PLACE, words
 
 ORDER, BACKOFF, UNIT = 2, 0.4, 1_000_000
 #: Text bytes of a stretch, and of all texts for each bucket.
 STRETCH, BUCKET = 16 << 20, 24 << 20
-CODEC = "zstd"
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -55,20 +55,6 @@ def terms(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.nda
     return out
 
 
-def _pack(hashes: np.ndarray, docs: np.ndarray, counts: np.ndarray, signs: np.ndarray) -> bytes:
-    """Hashes ascend: their differences by byte place, then the other columns."""
-    step = np.diff(hashes, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T)
-    raw = planes.tobytes() + docs.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() + signs.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pa.compress(raw, codec=CODEC, asbytes=True)
-
-
-def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=20 * n, codec=CODEC, asbytes=True), np.uint8)
-    column = lambda at, width, kind: np.ascontiguousarray(raw[at * n : (at + width) * n].reshape(width, n).T).view(kind).ravel()
-    return np.cumsum(column(0, 8, np.uint64), dtype=np.uint64), column(8, 4, np.uint32), column(12, 4, np.int32), column(16, 4, np.int32)
-
-
 def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score (long, sum of natural logarithms in units of 1e-6) and
     mean_log (per word; null without words) for every row, scored against all rows. Words
@@ -95,10 +81,9 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 counts, signs = np.diff(np.r_[head, len(gram)]), np.add.reduceat(sign, head)
                 gram, row = gram[head], row[head]
                 # hashes ascend, so a bucket is a stretch of them
-                bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    out.append((stretch, k, int(bucket[a]), b - a, _pack(gram[a:b], row[a:b], counts[a:b], signs[a:b]), None))
+                cut, number = ranges(gram, buckets)
+                for a, b, bucket in zip(cut[:-1].tolist(), cut[1:].tolist(), number.tolist(), strict=True):
+                    out.append((stretch, k, bucket, b - a, pack(gram[a:b], row[a:b], counts[a:b], signs[a:b]), None))
             stretch += 1
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)] + [pa.array([None if x is None else x.to_pylist() for x in columns[5]], pa.list_(pa.int64()))], names=["stretch", "k", "bucket", "n", "packed", "ids"])
@@ -106,7 +91,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     sent = materialise(rows.mapInArrow(explode, "stretch long, k int, bucket long, n int, packed binary, ids array<long>"), "grams")
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p, n) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        parts = [unpack(p, n, 3) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist(), strict=True)]
         order_ = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
         gram = np.concatenate([p[0] for p in parts])[order_]
         head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
