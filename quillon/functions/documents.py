@@ -144,18 +144,18 @@ def extract(document, *paths: str) -> Column:
     return _each(get, "string", _column(document))
 
 
-def unquote(document) -> Column:
-    """The text of a JSON string; other text unchanged."""
+def _plain(text: str) -> str:
+    if len(text) < 2 or text[0] != '"' or text[-1] != '"':
+        return text
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
 
-    def plain(text: str) -> str:
-        if len(text) < 2 or text[0] != '"' or text[-1] != '"':
-            return text
-        try:
-            return json.loads(text)
-        except ValueError:
-            return text
 
-    return _each(plain, "string", _column(document))
+def unquote(document) -> Column:
+    """The text of a JSON string; other text unchanged."""
+    return _each(_plain, "string", _column(document))
 
 
 def unquoted(document, path: str) -> Column:
@@ -164,16 +164,34 @@ def unquoted(document, path: str) -> Column:
     return F.get_json_object(_column(document), path)
 
 
+def _kind(text: str) -> str:
+    node = parse(text)
+    if isinstance(node, Number):
+        return "DOUBLE" if set(node) & set(".eE") else "INTEGER"
+    return {dict: "OBJECT", list: "ARRAY", str: "STRING", bool: "BOOLEAN", type(None): "NULL"}[type(node)]
+
+
 def kind(document) -> Column:
     """OBJECT, ARRAY, STRING, INTEGER, DOUBLE, BOOLEAN or NULL."""
+    return _each(_kind, "string", _column(document))
+
+
+def function(f: Callable, kind: str = "string"):
+    """``f`` of one text as a function that can be registered by name."""
+
+    @F.pandas_udf(kind)
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else f(t) for t in texts], dtype=object)
+
+    return batch
+
+
+def unquote_function():
+    return function(_plain)
 
-    def name(text: str) -> str:
-        node = parse(text)
-        if isinstance(node, Number):
-            return "DOUBLE" if set(node) & set(".eE") else "INTEGER"
-        return {dict: "OBJECT", list: "ARRAY", str: "STRING", bool: "BOOLEAN", type(None): "NULL"}[type(node)]
 
-    return _each(name, "string", _column(document))
+def kind_function():
+    return function(_kind)
 
 
 def length(document, path: str = "$") -> Column:

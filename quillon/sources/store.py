@@ -176,10 +176,17 @@ class VersionedTable:
         events = gone.select(*now.columns).withColumn("_op", F.lit("DELETE")).unionByName(fresh.withColumn("_op", F.lit("PUT")))
         return self._commit(left.select(*now.columns).unionByName(fresh), events)
 
-    def update(self, where: Column, assignments: Mapping[str, Column]) -> int:
-        """Assignments apply from left to right: a later one sees the earlier."""
+    def _marked(self, where: Column | DataFrame) -> DataFrame:
+        """The rows with ``_hit``: by a condition, or by a frame of keys."""
         now = self.read()
-        marked = now.withColumn("_hit", F.coalesce(where, F.lit(False)))
+        if isinstance(where, DataFrame):
+            keys = where.select(*self.key).distinct().withColumn("_hit", F.lit(True))
+            return now.join(keys, self.key, "left_outer").select(*now.columns, F.coalesce("_hit", F.lit(False)).alias("_hit"))
+        return now.withColumn("_hit", F.coalesce(where, F.lit(False)))
+
+    def update(self, where: Column | DataFrame, assignments: Mapping[str, Column]) -> int:
+        """Assignments apply from left to right: a later one sees the earlier."""
+        now, marked = self.read(), self._marked(where)
         for c, e in assignments.items():
             marked = marked.withColumn(c, F.when(F.col("_hit"), e.cast(now.schema[c].dataType)).otherwise(F.col(c)))
         rows = marked.select(*now.columns)
@@ -187,10 +194,9 @@ class VersionedTable:
             self._check_keys(rows)
         return self._commit(rows, marked.filter("_hit").select(*now.columns).withColumn("_op", F.lit("PUT")))
 
-    def delete(self, where: Column) -> int:
-        now = self.read()
-        hit = F.coalesce(where, F.lit(False))
-        return self._commit(now.filter(~hit), now.filter(hit).withColumn("_op", F.lit("DELETE")))
+    def delete(self, where: Column | DataFrame) -> int:
+        marked = self._marked(where)
+        return self._commit(marked.filter(~F.col("_hit")).drop("_hit"), marked.filter("_hit").drop("_hit").withColumn("_op", F.lit("DELETE")))
 
     # --- schema
 
