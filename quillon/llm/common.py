@@ -41,17 +41,35 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` into the shared checkpoint folder and reads it again: lineage ends
     there, so a lost executor costs a re-read and not a recomputation. The folder goes
-    when the driver exits."""
+    when the operator says so (``only``), or when the driver exits."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``only``."""
+    return len(_written)
+
+
+def only(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Materialises a result and deletes all that was written for it since a mark."""
+    kept = materialise(df, name)
+    for path in _written[since:-1]:
+        _delete(df.sparkSession, path)
+    del _written[since:-1]
+    return kept
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``most`` bytes in each (a
     single longer row stays whole): bounds what a vectorised step holds at once."""

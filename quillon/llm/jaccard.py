@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, mix64, slices
+from quillon.llm.common import materialise, mix64, only, slices, written
 from quillon.llm.graph import components
 from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import shingle_sets
 
-#: Of the narrow sketch in 64-bit words, of a band's growth, and the largest bucket whose
-#: pairs of components are made directly.
-SKETCH, GROWTH, SMALL = 8, 1.2, 4096
+#: 64-bit words of the narrow sketch, and the largest bucket whose pairs of components are
+#: made directly.
+SKETCH, SMALL = 8, 4096
 #: A sketch word of so many members at most is weak: many unrelated sets share it.
 WEAK = 0
 #: Packed entries that a task sends at once, entries of a part, and rows of one bucket that
@@ -45,8 +45,9 @@ class Bands:
 
     def __init__(self, percent: int, most: int = 1 << 40):
         self.percent, self.least = percent, [1]
+        growth = (100 / percent) ** 2  # a set is in one band or two, as a rule
         while self.least[-1] <= most:
-            self.least.append(max(self.least[-1] + 1, int(self.least[-1] * GROWTH)))
+            self.least.append(max(self.least[-1] + 1, int(self.least[-1] * growth)))
 
     def difference(self, smaller: int) -> int:
         """The largest symmetric difference of a linked pair."""
@@ -234,7 +235,8 @@ class Join:
         copies = self.rows.select("key", F.col("nid")).join(first, "key").filter("nid <> first").select("nid", "first")
         nodes = found.join(copies, "nid", "left").select("bucket", F.coalesce("first", "nid").alias("nid")).distinct()
         nodes = materialise(nodes, "shared")
-        several = nodes.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        # written before the join, so that both of its sides are shuffled and split alike
+        several = materialise(nodes.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "several")
         return materialise(nodes.join(several, "bucket"), "members")
 
     def texts_of(self, nids: DataFrame) -> DataFrame:
@@ -313,4 +315,5 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     reach. Documents link when their sets of ``width``-word shingles have a Jaccard
     similarity of percent / 100 at least. Null and empty texts have no shingles and their
     own doc_id; equal rows are copies. Shingles are compared by 64-bit hashes."""
-    return Join(docs, width, percent).result()
+    mark = written()
+    return only(Join(docs, width, percent).result(), "components", mark)

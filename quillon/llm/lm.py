@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, mix64, slices
+from quillon.llm.common import materialise, mix64, only, slices, written
 from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import PLACE, words
 
@@ -59,6 +59,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score (long, sum of natural logarithms in units of 1e-6) and
     mean_log (per word; null without words) for every row, scored against all rows. Words
     are runs of other than ASCII white space, A-Z lower-cased; null text has none."""
+    mark = written()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total_bytes // BUCKET))
@@ -123,7 +124,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(size, pa.int64()), "sum": pa.array(total, pa.int64())})
 
     summed = kept.groupBy("stretch").cogroup(counted.groupBy("stretch")).applyInArrow(add, "doc_id long, n_words long, sum long")
-    return finished(materialise(summed, "scores"))
+    return finished(only(summed, "scores", mark))
 
 
 def finished(summed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, mix64, slices, text_bytes
+from quillon.llm.common import materialise, mix64, only, slices, text_bytes, written
 from quillon.llm.shingles import BASE, BASE_INVERSE, BYTE_VALUES, powers
 
 WINDOW = 400
@@ -155,6 +155,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     rows = materialise(anchor_rows(texts, window), "anchors")
     every = rows.select("nid", F.explode(F.arrays_zip("anchors", "contexts", "places")).alias("x")).select(F.col("x.anchors").alias("anchor"), F.col("x.contexts").alias("context"), "nid", F.col("x.places").alias("place"))
     shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    shared = materialise(shared, "shared")  # so that both sides of the join are shuffled and split alike
     met = materialise(every.join(shared, "anchor"), "met")
     alike = materialise(met.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("nid", "place")).alias("first")), "alike")
     name = rows.select("nid", "tid")
@@ -239,7 +240,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for
     every row. Null text counts as empty. Repeated rows repeat each other."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(texts, window).groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    mark = written()
+    spans = only(repeated_spans(texts, window).distinct(), "spans", mark)
+    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = texts.withColumn("tid", F.unhex(F.md5("text"))).join(spans, "tid", "left").select("doc_id", "text", "spans")
 
     def run(batches):
