@@ -255,6 +255,14 @@ def _inferred(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+# The shapes of the published benchmark: count, full and half range scans, order, sum.
+same("bench_count", "SELECT COUNT(*) AS n FROM lineitem", "lineitem")
+same("bench_range_full", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey >= 0", "lineitem")
+same("bench_range_half", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey >= (SELECT MAX(l_orderkey) FROM lineitem) / 2", "lineitem")
+same("bench_order_by", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber", "lineitem")
+same("bench_sum", "SELECT CAST(SUM(l_orderkey) AS BIGINT) AS s FROM lineitem", "lineitem")
+
+
 # --- E. windows -------------------------------------------------------------------------
 
 TOTAL = D("o_totalprice")
