@@ -530,6 +530,91 @@ def _incremental(spark, sf_dir):
     return view.read()
 
 
+@pair("j1_create_table", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST(1.5000 AS DECIMAL(18,4)), DATE '2024-01-02'), (2, '', CAST(0 AS DECIMAL(18,4)), DATE '2024-01-03')) t(id, name, price, d)")
+def _create_table(spark, sf_dir):
+    from quillon.plans.engine import Engine
+
+    e = Engine(spark, scratch(spark))
+    e.execute("CREATE TABLE IF NOT EXISTS t (id INT, name VARCHAR(10), price DECIMAL, d DATE, PRIMARY KEY (id), KEY k (name)) ENGINE=x")
+    e.execute("INSERT INTO t VALUES (1, 'a', 1.5, DATE '2024-01-02')")
+    e.execute("INSERT INTO t (id, d) VALUES (2, DATE '2024-01-03')")
+    return e.execute("SELECT * FROM t")
+
+
+@pair("i10_updatable_view", "SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'seven' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey <= 500 AND NOT (c_nationkey = 7 AND c_custkey < 100)")
+def _updatable_view(spark, sf_dir):
+    from quillon.plans.engine import Engine
+
+    e = Engine(spark, scratch(spark))
+    e.register("customer", table(spark, sf_dir, "customer"))
+    e.execute("CREATE TABLE c AS SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500")
+    e.execute("CREATE VIEW seven AS SELECT c_custkey, c_name, c_nationkey FROM c WHERE c_nationkey = 7")
+    e.execute("UPDATE seven SET c_name = 'seven'")
+    e.execute("DELETE FROM seven WHERE c_custkey < 100")
+    return e.execute("SELECT * FROM c")
+
+
+@pair("j11_explain", None)
+def _explain(spark, sf_dir):
+    from quillon.plans.engine import Engine
+
+    e = Engine(spark, scratch(spark))
+    e.register("orders", table(spark, sf_dir, "orders"))
+    return e.execute("EXPLAIN SELECT o_custkey, COUNT(*) FROM orders WHERE o_orderkey > 5 GROUP BY o_custkey")
+
+
+# --- K. procedures ----------------------------------------------------------------------
+
+SCRIPT = """
+BEGIN
+  DECLARE total BIGINT DEFAULT 0;
+  DECLARE i BIGINT DEFAULT 0;
+  steps: WHILE i < 100 DO
+    SET i = i + 1;
+    IF i % 2 = 0 THEN ITERATE steps; END IF;
+    IF i > 20 THEN LEAVE steps; END IF;
+    SET total = total + i;
+  END WHILE;
+  SELECT total AS total, i AS i;
+END
+"""
+
+
+@pair("k2_k3_blocks_and_loops", "SELECT CAST(100 AS BIGINT) AS total, CAST(21 AS BIGINT) AS i")
+def _script(spark, sf_dir):
+    """Odd numbers up to 20, by a scripted loop."""
+    return spark.sql(SCRIPT)
+
+
+@pair("k1_procedure_call", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_custkey < 300 GROUP BY 1")
+def _procedure(spark, sf_dir):
+    from quillon.plans.engine import Engine
+
+    e = Engine(spark, scratch(spark))
+    e.register("orders", table(spark, sf_dir, "orders"))
+    e.procedure("by_status", lambda db, below: db.execute(f"SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_custkey < {below} GROUP BY o_orderstatus"))
+    e.execute("SET @below = 300")
+    return e.execute("CALL by_status(@below)")
+
+
+@pair("k6_dynamic_statement", "SELECT COUNT(*) AS n FROM part WHERE p_size < 9")
+def _dynamic(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql("EXECUTE IMMEDIATE 'SELECT COUNT(*) AS n FROM part WHERE p_size < ?' USING 9")
+
+
+@pair("k8_triggers", "SELECT n_nationkey, upper(n_name) AS n_name FROM nation")
+def _triggers(spark, sf_dir):
+    from quillon.plans.engine import Engine
+
+    e = Engine(spark, scratch(spark))
+    e.register("nation", table(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("int")))
+    e.execute("CREATE TABLE t AS SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 0")
+    e.trigger("BEFORE", "INSERT", "t", lambda rows: rows.withColumn("n_name", F.upper("n_name")))
+    e.execute("INSERT INTO t SELECT n_nationkey, n_name FROM nation")
+    return e.execute("SELECT n_nationkey, n_name FROM t")
+
+
 # --- L. change streams ------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from quillon.functions import documents
 from quillon.plans.matviews import MaterialisedView
 from quillon.sources import files
 from quillon.sources.catalog import columns_of, tables_of
-from quillon.sources.store import Conflict, Folder, VersionedTable
+from quillon.sources.store import Conflict, Folder, VersionedTable, checked
 
 NAME = r"`?([A-Za-z_]\w*)`?"
 #: Accepted column types. Lengths are read and not enforced.
@@ -51,6 +51,10 @@ def split_top(text: str, by: str = ",") -> list[str]:
     return [x.strip() for x in [*out, text[start:]] if x.strip()]
 
 
+def _both(a: str | None, b: str | None) -> str | None:
+    return f"({a}) AND {b}" if a and b else a or b
+
+
 def column_type(text: str) -> str:
     m = re.match(r"(\w+)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?", text)
     kind = m[1].upper()
@@ -71,6 +75,7 @@ class Engine:
         self.spark, self.root = spark, root.rstrip("/")
         self.tables: dict[str, VersionedTable] = {}
         self.views: dict[str, str] = {}
+        self.checked: set[str] = set()  # views with a check option
         self.matviews: dict[str, MaterialisedView] = {}
         self.external: dict[str, DataFrame] = {}
         self.variables: dict[str, object] = {}
@@ -265,8 +270,23 @@ class Engine:
             raise Unsupported(f"no table {m[2]}")
         self.tables.pop(m[2]).folder.delete()
 
+    def _base(self, name: str) -> tuple[str, str | None, bool]:
+        """The table that a statement on ``name`` changes, the condition that its view adds,
+        and whether new rows must meet it. A view can be changed if it selects bare columns
+        of one table."""
+        if name not in self.views:
+            return name, None, False
+        m = re.match(rf"SELECT\s+(?:\*|[\w\s,`]+?)\s+FROM\s+{NAME}(?:\s+WHERE\s+(.*))?$", self.views[name], re.I | re.S)
+        if not m or m[1] == name:
+            raise Unsupported(f"view {name} can't be changed")
+        base, where, check = self._base(m[1])
+        return base, " AND ".join(f"({w})" for w in (m[2], where) if w) or None, check or name in self.checked
+
     def _insert(self, m: re.Match) -> None:
-        mode, name, listed, body = m[1].upper(), m[2], m[3], m[4]
+        mode, listed, body = m[1].upper(), m[3], m[4]
+        name, inside, check = self._base(m[2])
+        if m[2] in self.views and not listed:
+            listed = ",".join(self.query(f"SELECT * FROM {m[2]}").columns)
         table = self._table(name)
         schema = table.read().schema
         updates = None
@@ -284,6 +304,8 @@ class Engine:
                 value = F.current_date() if f.dataType.simpleString() == "date" else F.lit(defaults.get(f.dataType.simpleString(), 0))
                 rows = rows.withColumn(f.name, value.cast(f.dataType))
         rows = self._fire("BEFORE", "INSERT", name, rows)
+        if check and inside:
+            rows = checked(rows, F.expr(inside))
         if mode == "REPLACE":
             table.replace(rows)
         elif updates is not None:
@@ -305,17 +327,24 @@ class Engine:
         return self._table(name)._marked(where).filter("_hit").drop("_hit")
 
     def _update(self, m: re.Match) -> None:
-        table, where = self._table(m[1]), self._where(m[3], m[1])
+        name, inside, check = self._base(m[1])
+        table, where = self._table(name), self._where(_both(m[3], inside), name)
         assignments = {c.strip("` "): F.expr(self._bound(e)) for c, e in (x.split("=", 1) for x in split_top(m[2]))}
-        self._fire("BEFORE", "UPDATE", m[1], self._hit(m[1], where))
+        before = self._fire("BEFORE", "UPDATE", name, self._hit(name, where))
+        if check and inside:
+            for c, e in assignments.items():
+                before = before.withColumn(c, e)
+            if not before.filter(~F.coalesce(F.expr(inside), F.lit(False))).isEmpty():
+                raise Conflict(f"row is outside the view {m[1]}")
         table.update(where, assignments)
-        self._fire("AFTER", "UPDATE", m[1], table.changes().filter(F.col("lsn") == table.version()))
+        self._fire("AFTER", "UPDATE", name, table.changes().filter(F.col("lsn") == table.version()))
 
     def _delete(self, m: re.Match) -> None:
-        table, where = self._table(m[1]), self._where(m[2], m[1])
-        gone = self._fire("BEFORE", "DELETE", m[1], self._hit(m[1], where))
+        name, inside, _ = self._base(m[1])
+        table, where = self._table(name), self._where(_both(m[2], inside), name)
+        gone = self._fire("BEFORE", "DELETE", name, self._hit(name, where))
         table.delete(where)
-        self._fire("AFTER", "DELETE", m[1], gone)
+        self._fire("AFTER", "DELETE", name, gone)
 
     def _alter(self, m: re.Match) -> None:
         table, change = self._table(m[1]), m[2].strip()
@@ -336,7 +365,10 @@ class Engine:
             raise Unsupported(f"ALTER TABLE ... {change}")
 
     def _view(self, m: re.Match) -> None:
-        self.views[m[1]] = m[2]
+        text = re.sub(r"\s+WITH\s+(?:CASCADED\s+|LOCAL\s+)?CHECK\s+OPTION$", "", m[2], flags=re.I)
+        self.views[m[1]] = text
+        if text != m[2]:
+            self.checked.add(m[1])
 
     def _matview(self, m: re.Match) -> None:
         name, text = m[1], m[2]
@@ -429,6 +461,8 @@ STATEMENTS: list[tuple[str, Callable]] = [
     (rf"DROP\s+MATERIALIZED\s+VIEW\s+{NAME}$", lambda self, m: self.matviews.pop(m[1]).drop(list(self.matviews.values()))),
     (rf"CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+{NAME}\s+AS\s+(.*)$", Engine._view),
     (rf"DROP\s+VIEW\s+{NAME}$", lambda self, m: self.views.pop(m[1]) and None),
+    (rf"CREATE\s+DATABASE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}$", lambda self, m: self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {m[1]}") and None),
+    (rf"DROP\s+DATABASE\s+(?:IF\s+EXISTS\s+)?{NAME}$", lambda self, m: self.spark.sql(f"DROP SCHEMA IF EXISTS {m[1]} CASCADE") and None),
     (rf"CALL\s+{NAME}\s*\((.*)\)$", Engine._call),
     (r"SET\s+@(\w+)\s*:?=\s*(.*)$", Engine._set),
     (rf"PREPARE\s+{NAME}\s+FROM\s+'(.*)'$", Engine._prepare),

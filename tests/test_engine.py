@@ -60,6 +60,19 @@ def test_views_and_materialised_views(engine):
     assert engine.matviews["m"].refresh() == "skipped"
 
 
+def test_changes_through_views(engine):
+    engine.execute("CREATE VIEW old AS SELECT id, name, age FROM users WHERE age > 28 WITH CHECK OPTION")
+    engine.execute("UPDATE old SET name = 'o' WHERE id > 1")
+    assert rows(engine.execute("SELECT id FROM users WHERE name = 'o'")) == [(3,)]
+    engine.execute("INSERT INTO old VALUES (7, 'g', 99)")
+    with pytest.raises(Exception, match="outside"):
+        engine.execute("INSERT INTO old VALUES (8, 'h', 1)")
+    with pytest.raises(Conflict):
+        engine.execute("UPDATE old SET age = 2")
+    engine.execute("DELETE FROM old")
+    assert rows(engine.execute("SELECT id FROM users")) == [(2,)]
+
+
 def test_alter_and_catalogue(engine):
     engine.execute("ALTER TABLE users ADD COLUMN city TEXT")
     engine.execute("ALTER TABLE users RENAME COLUMN name TO title")
