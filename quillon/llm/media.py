@@ -170,7 +170,7 @@ def parse(data: bytes) -> Stream:
     """Reads a stream from its bytes alone. Broken headers and junk are skipped up to the
     next header that another header (or the end) confirms; frames cut off at the end are
     left out. Empty input: no frames, duration 0."""
-    out, at, runs, steady, first = Stream(np.empty(0, np.int64)), 0, [], True, True
+    out, at, runs, steady, first, last = Stream(np.empty(0, np.int64)), 0, [], True, True, None
     seconds = Fraction(0)
     while at < len(data):
         tag = _tag_at(data, at)
@@ -181,8 +181,9 @@ def parse(data: bytes) -> Stream:
         header = read_header(data, at)
         fits = header is not None and at + header.size <= len(data)
         after = at + header.size if fits else 0
-        if fits and not steady and after < len(data) and not (read_header(data, after) or _tag_at(data, after)):
-            fits = False  # a header by chance: after a loss of step a second one must follow
+        kind = header and (header.version, header.layer, header.sample_rate)
+        if fits and not (steady and kind == last) and after < len(data) and not (read_header(data, after) or _tag_at(data, after)):
+            fits = False  # a header by chance: where the stream breaks or changes a second one must follow
         if not fits:
             if steady:
                 out.resyncs += 1
@@ -192,7 +193,7 @@ def parse(data: bytes) -> Stream:
             out.skipped += nxt - at
             at = nxt
             continue
-        steady = True
+        steady, last = True, kind
         if first:
             first = False
             out.version, out.layer, out.sample_rate = header.version, header.layer, header.sample_rate
