@@ -124,14 +124,15 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(size, pa.int64()), "sum": pa.array(total, pa.int64())})
 
     summed = kept.groupBy("stretch").cogroup(counted.groupBy("stretch")).applyInArrow(add, "doc_id long, n_words long, sum long")
-    return finished(only(summed, "scores", mark))
+    return finished(only(summed, "scores", mark), order)
 
 
-def finished(summed: DataFrame) -> DataFrame:
-    """Takes log(all words) off each text's first word and adds the mean."""
+def finished(summed: DataFrame, order: int) -> DataFrame:
+    """Takes log(all words) off each word without a context (a text's first, or all at
+    order 1) and adds the mean."""
     words_ = summed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     whole = round(float(np.log(words_)) * UNIT) if words_ else 0
-    score = F.when(F.col("n_words") > 0, F.col("sum") - F.lit(whole)).otherwise(0).cast("long")
+    score = F.when(F.col("n_words") > 0, F.col("sum") - F.lit(whole) * (F.col("n_words") if order == 1 else 1)).otherwise(0).cast("long")
     return summed.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / UNIT / F.col("n_words")).alias("mean_log"))
 
 

@@ -161,6 +161,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, row_id: str = "vec_id"
         queries = np.repeat(ids[asks], k)
         found = best.ids.ravel()
         kept = found != np.iinfo(np.int64).max
+        if big is None:
+            kept &= best.scores.ravel() > -np.inf  # a query's own row is no candidate
         scores = [big[q, j] for q, j in zip(queries[kept].tolist(), found[kept].tolist(), strict=True)] if big is not None else best.scores.ravel()[kept].astype(np.int64)
         return pa.table({"query_id": pa.array(queries[kept], pa.int64()), "vec_id": pa.array(found[kept], pa.int64()), "score": pa.array(scores, pa.int64())})
 
