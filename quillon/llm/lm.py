@@ -25,8 +25,8 @@ from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import PLACE, words
 
 ORDER, BACKOFF, UNIT = 2, 0.4, 1_000_000
-#: Text bytes of a stretch, and of all texts for each bucket.
-STRETCH, BUCKET = 16 << 20, 24 << 20
+#: Text bytes of a stretch, of what is hashed at once, and of all texts for each bucket.
+STRETCH, SLICE, BUCKET = 8 << 20, 1 << 20, 16 << 20
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -35,10 +35,21 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         return hashes
     out = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
     for i in range(k):
-        out += hashes[i : len(hashes) - k + 1 + i] * PLACE[i]
+        out += hashes[i : i + len(out)] * PLACE[i]
     return mix64(out)
 
 
+def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and rows of a stretch, hashed in small slices for the memory's sake."""
+    found, rows, first = [], [], 0
+    for part in slices(iter([batch]), most=SLICE):
+        hashes, at = words(part.column(1))
+        found.append(hashes)
+        rows.append(at + first)
+        first += part.num_rows
+    return (np.concatenate(found), np.concatenate(rows)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def terms(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By order k: the k-grams of all rows, the row of each, and how its logarithm counts:
     1 where it scores a word, less 1 where it is another word's context."""
@@ -69,7 +80,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         stretch = TaskContext.get().partitionId() << 24
         for batch in slices(batches, most=STRETCH):
-            hashes, at = words(batch.column(1))
+            hashes, at = words_of(batch)
             n_words = np.bincount(at, minlength=batch.num_rows)
             ids = pa.array(batch.column(0).to_pylist(), pa.int64())
             out = [(stretch, 0, -1, batch.num_rows, n_words.astype(np.int32).tobytes(), ids)]
