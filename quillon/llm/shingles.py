@@ -68,7 +68,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     ends = np.cumsum(count)
     combined = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
-        combined += hashes[k : len(hashes) - width + 1 + k] * PLACE[k]
+        combined += hashes[k : k + len(combined)] * PLACE[k]
     combined = mix64(combined)
     out = []
     for n, end in zip(count.tolist(), ends.tolist(), strict=True):
