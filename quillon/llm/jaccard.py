@@ -33,6 +33,8 @@ from quillon.llm.shingles import shingle_sets
 SKETCH, SMALL = 8, 4096
 #: A sketch word of so many members at most is weak: many unrelated sets share it.
 WEAK = 0
+#: A bucket of more rows is hot.
+HOT = 64
 #: Packed entries that a task sends at once, entries of a part, and rows of one bucket that
 #: go packed from there; others of a hot bucket go as rows, which Spark can split.
 ENTRIES, PART, PACKED = 2_000_000, 3_000_000, 16
@@ -65,16 +67,17 @@ class Bands:
         random members leaves weak."""
         most = self.difference(self.least[band + 1] - 1)
         share = np.exp(-self.least[band + 1] / (most + 1.0))
-        spare = int(1.5 * share * most + 3 * np.sqrt(share * most)) if most else 0
+        spare = int(1.5 * share * most + 3 * np.sqrt(share * most) + 0.15 * most) if most else 0
         return most + 1 + spare if most else 1, spare
 
 
-def signatures(members: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
+def signatures(members: np.ndarray, bands: Bands, seed: int) -> tuple[np.ndarray, int]:
     """The hashed sketch words of a set in all of its bands. Words of a band whose pairs
     would have to be equal are left out: equal sets are one node. A set with no more than
     ``spare`` weak words leaves these out too: a linked pair has spare + 1 equal words, so
-    one that isn't weak, and equal words are weak in both sets or in neither."""
-    out = []
+    one that isn't weak, and equal words are weak in both sets or in neither. Also returned is
+    the room: how many other words it could leave out by the same reasoning."""
+    out, room = [], 1 << 30
     h = mix64(members ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if seed else members
     flips = mix64(h & np.uint64(0xFFFFFFFF))  # names the bit of a word: a linear hash of it
     for band in bands.of(len(members)):
@@ -91,8 +94,10 @@ def signatures(members: np.ndarray, bands: Bands, seed: int) -> np.ndarray:
         name = np.uint64((band << 40) + (seed << 56)) + np.arange(n, dtype=np.uint64)
         hashed = mix64(words + mix64(name))
         weak = np.bincount(at, minlength=n) <= WEAK
-        out.append(hashed[~weak] if int(weak.sum()) <= spare else hashed)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        left = spare - int(weak.sum())
+        out.append(hashed[~weak] if left >= 0 else hashed)
+        room = min(room, max(left, 0))
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), room
 
 
 def narrow_sketch(members: np.ndarray) -> np.ndarray:
@@ -100,7 +105,7 @@ def narrow_sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-SENT = "nid long, doc_id long, tid binary, key binary, n long, sketch array<long>, part long, packed binary, bucket long"
+SENT = "nid long, doc_id long, tid binary, key binary, n long, room long, sketch array<long>, part long, packed binary, bucket long"
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -138,9 +143,9 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
         for batch in slices(batches, most=2 << 20):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield _sent(nid=np.arange(nid, nid + len(sets)), doc_id=batch.column(0), tid=batch.column(1), key=keys, n=[len(s) for s in sets], sketch=_lists([narrow_sketch(s) for s in sets]))
-            for i, members in enumerate(sets):
-                found = signatures(members, bands, 0)
+            signed = [signatures(s, bands, 0) for s in sets]
+            yield _sent(nid=np.arange(nid, nid + len(sets)), doc_id=batch.column(0), tid=batch.column(1), key=keys, n=[len(s) for s in sets], room=[room for _, room in signed], sketch=_lists([narrow_sketch(s) for s in sets]))
+            for i, (found, _) in enumerate(signed):
                 if len(found):
                     words.append(found)
                     owners.append(np.full(len(found), nid - start + i))
@@ -155,7 +160,7 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
     return texts.select("doc_id", "tid", "text").mapInArrow(run, SENT)
 
 
-KINDS = {"nid": pa.int64(), "doc_id": pa.int64(), "tid": pa.binary(), "key": pa.binary(), "n": pa.int64(), "sketch": pa.list_(pa.int64()), "part": pa.int64(), "packed": pa.binary(), "bucket": pa.int64()}
+KINDS = {"nid": pa.int64(), "doc_id": pa.int64(), "tid": pa.binary(), "key": pa.binary(), "n": pa.int64(), "room": pa.int64(), "sketch": pa.list_(pa.int64()), "part": pa.int64(), "packed": pa.binary(), "bucket": pa.int64()}
 
 
 def _sent(**columns) -> pa.RecordBatch:
@@ -185,7 +190,7 @@ class Join:
         # about a shingle for each six bytes, in fewer words by the linked share
         parts = max(1, size * (100 - percent) * 2 // (600 * PART))
         self.sent = materialise(sent_by(self.texts, width, self.bands, parts), "sets")
-        self.rows = self.sent.filter("packed is null and bucket is null").select("nid", "doc_id", "tid", "key", "n", "sketch")
+        self.rows = self.sent.filter("packed is null and bucket is null").select("nid", "doc_id", "tid", "key", "n", "room", "sketch")
         groups = self.rows.filter("n > 0").groupBy("key").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         self.groups = materialise(groups, "keys")
         self.nodes = self.rows.select("nid", "tid", "n", "sketch")
@@ -237,7 +242,14 @@ class Join:
         nodes = materialise(nodes, "shared")
         # written before the join, so that both of its sides are shuffled and split alike
         several = materialise(nodes.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "several")
-        return materialise(nodes.join(several, "bucket"), "members")
+        members = materialise(nodes.join(several, "bucket"), "members")
+        # Hot words are left out like weak ones: a set with no more of them than its room
+        # shares a word that is neither with every set it is linked to.
+        hot = members.groupBy("nid").agg(F.count_if(F.col("n") > HOT).alias("hot"))
+        light = hot.join(self.rows.select("nid", "room"), "nid").filter((F.col("hot") > 0) & (F.col("hot") <= F.col("room"))).select("nid", F.lit(True).alias("light"))
+        kept = materialise(members.join(light, "nid", "left").filter((F.col("n") <= HOT) | F.col("light").isNull()).select("bucket", "nid"), "kept")
+        still = materialise(kept.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "still")
+        return materialise(kept.join(still, "bucket"), "members")
 
     def texts_of(self, nids: DataFrame) -> DataFrame:
         """nid, tid and text of nodes. Few of them go to every task that reads texts; of
@@ -255,7 +267,7 @@ class Join:
         def run(batches):
             for batch in slices(batches, most=2 << 20):
                 sets = shingle_sets(batch.column(1), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([signatures(s, bands, seed) for s in sets])], names=["nid", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([signatures(s, bands, seed)[0] for s in sets])], names=["nid", "words"])
 
         again = self.texts_of(members.select("nid").distinct()).select("nid", "text").mapInArrow(run, "nid long, words array<long>")
         finer = members.join(again, "nid").select("nid", F.explode("words").alias("word"), "bucket").select("nid", F.xxhash64("bucket", "word").alias("bucket"))

@@ -45,6 +45,7 @@ def edited(rng: random.Random, words: list[str], edits: int) -> str:
 def test_equals_brute_force(spark, monkeypatch, width, percent, small):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "PACKED", 3)
+    monkeypatch.setattr(jaccard, "HOT", 3 if small < 4096 else 20)
     rng = random.Random(width * percent + small)
     texts = []
     for n in (4, 12, 30, 60, 150, 400):
