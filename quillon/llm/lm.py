@@ -75,15 +75,24 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     total_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total_bytes // BUCKET))
 
+    def heads(batches):
+        """For each stretch its documents' ids and words. Stretches are numbered by the
+        partition and order in which the texts are read, which is the same in both passes."""
+        from pyspark import TaskContext
+
+        stretch = TaskContext.get().partitionId() << 24
+        for batch in slices(batches, most=STRETCH):
+            n_words = np.bincount(words_of(batch)[1], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([n_words.tolist()], pa.list_(pa.int64()))], names=["stretch", "ids", "n_words"])
+            stretch += 1
+
     def explode(batches):
         from pyspark import TaskContext
 
         stretch = TaskContext.get().partitionId() << 24
         for batch in slices(batches, most=STRETCH):
             hashes, at = words_of(batch)
-            n_words = np.bincount(at, minlength=batch.num_rows)
-            ids = pa.array(batch.column(0).to_pylist(), pa.int64())
-            out = [(stretch, 0, -1, batch.num_rows, n_words.astype(np.int32).tobytes(), ids)]
+            out = []
             for k, (gram, row, sign) in enumerate(terms(hashes, at, order), 1):
                 by = np.argsort(gram, kind="stable")
                 gram, row, sign = gram[by], row[by], sign[by]
@@ -95,12 +104,14 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 # hashes ascend, so a bucket is a stretch of them
                 cut, number = ranges(gram, buckets)
                 for a, b, bucket in zip(cut[:-1].tolist(), cut[1:].tolist(), number.tolist(), strict=True):
-                    out.append((stretch, k, bucket, b - a, pack(gram[a:b], row[a:b], counts[a:b], signs[a:b]), None))
+                    out.append((stretch, k, bucket, b - a, pack(gram[a:b], row[a:b], counts[a:b], signs[a:b])))
             stretch += 1
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)] + [pa.array([None if x is None else x.to_pylist() for x in columns[5]], pa.list_(pa.int64()))], names=["stretch", "k", "bucket", "n", "packed", "ids"])
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["stretch", "k", "bucket", "n", "packed"])
 
-    sent = materialise(rows.mapInArrow(explode, "stretch long, k int, bucket long, n int, packed binary, ids array<long>"), "grams")
+    # shuffled as they are made: a written copy would double the disk
+    sent = rows.mapInArrow(explode, "stretch long, k int, bucket long, n int, packed binary")
+    kept = materialise(rows.mapInArrow(heads, "stretch long, ids array<long>, n_words array<long>"), "heads")
 
     def count(table: pa.Table) -> pa.Table:
         parts = [unpack(p, n, 3) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist(), strict=True)]
@@ -123,12 +134,11 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         columns = list(zip(*out, strict=True))
         return pa.table({"stretch": pa.array(columns[0], pa.int64()), "docs": pa.array(columns[1], pa.binary()), "sums": pa.array(columns[2], pa.binary())})
 
-    counted = sent.filter("k > 0").select("stretch", "k", "bucket", "n", "packed").groupBy("k", "bucket").applyInArrow(count, "stretch long, docs binary, sums binary")
-    kept = sent.filter("k = 0").select("stretch", F.col("packed").alias("docs"), "ids")
+    counted = sent.groupBy("k", "bucket").applyInArrow(count, "stretch long, docs binary, sums binary")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").to_pylist()[0] if left.num_rows else []
-        size = np.frombuffer(left.column("docs").to_pylist()[0], np.int32) if left.num_rows else np.empty(0, np.int32)
+        size = left.column("n_words").to_pylist()[0] if left.num_rows else []
         total = np.zeros(len(ids), np.int64)
         for d, s in zip(right.column("docs").to_pylist(), right.column("sums").to_pylist(), strict=True):
             total[np.frombuffer(d, np.uint32)] += np.frombuffer(s, np.int64)
