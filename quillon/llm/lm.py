@@ -9,15 +9,18 @@ own n-grams, and returns the logarithms summed by document; these are summed onc
 A word's score is f(its n-gram) / f(the n-gram without it), both counted over the whole
 corpus, for the longest n-gram up to ``order`` that the document's start allows; a first
 word scores f(word) / words. N-grams of corpus documents are never unseen, so nothing backs
-off there; ``score_new`` scores other documents against a corpus and does. Logarithms
-are summed as integers of 1e-6, so sums don't depend on their order.
+off there. Rows that are ``held`` out are counted nowhere: their n-grams travel with their
+places instead of counts, come back with the logarithms of the others' counts, and each word
+takes its longest seen n-gram, ``BACKOFF`` for each one tried before. ``score_new`` scores
+other documents against a count table. Logarithms are summed as integers of 1e-6, so sums
+don't depend on their order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, mix64, only, slices, written
@@ -66,12 +69,29 @@ def terms(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.nda
     return out
 
 
-def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def backed_off(logs: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its score without log(all words), and whether that is to be taken off.
+    ``logs`` has by order the logarithm of the count of the n-gram that begins at each word,
+    below 0 where it is unseen; ``place`` is the word's place in its row."""
+    n, alpha = len(place), round(float(np.log(BACKOFF)) * UNIT)
+    longest = np.minimum(place + 1, len(logs))
+    score, bare = (longest - 1) * alpha + np.maximum(logs[0], 0), np.ones(n, bool)
+    for k in range(2, len(logs) + 1):
+        word = np.flatnonzero(place >= k - 1)
+        word = word[logs[k - 1][word - k + 1] >= 0]
+        score[word] = logs[k - 1][word - k + 1] - logs[k - 2][word - k + 1] + (longest[word] - k) * alpha
+        bare[word] = False
+    return score, bare
+
+
+def score_corpus(docs: DataFrame, order: int = ORDER, held: Column | None = None) -> DataFrame:
     """doc_id, n_words, log_score (long, sum of natural logarithms in units of 1e-6) and
-    mean_log (per word; null without words) for every row, scored against all rows. Words
-    are runs of other than ASCII white space, A-Z lower-cased; null text has none."""
+    mean_log (per word; null without words) for every row, scored against all rows that
+    aren't ``held`` out (default: none is). Words are runs of other than ASCII white space,
+    A-Z lower-cased; null text has none."""
     mark = written()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    out_ = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), out_.alias("held"))
     total_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total_bytes // BUCKET))
 
@@ -83,7 +103,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         stretch = TaskContext.get().partitionId() << 24
         for batch in slices(batches, most=STRETCH):
             n_words = np.bincount(words_of(batch)[1], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([n_words.tolist()], pa.list_(pa.int64()))], names=["stretch", "ids", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([n_words.tolist()], pa.list_(pa.int64())), pa.array([batch.column(2).to_pylist()], pa.list_(pa.bool_()))], names=["stretch", "ids", "n_words", "held"])
             stretch += 1
 
     def explode(batches):
@@ -92,26 +112,34 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         stretch = TaskContext.get().partitionId() << 24
         for batch in slices(batches, most=STRETCH):
             hashes, at = words_of(batch)
-            out = []
-            for k, (gram, row, sign) in enumerate(terms(hashes, at, order), 1):
+            apart = np.asarray(batch.column(2).to_pylist(), bool)[at]
+            spots = np.flatnonzero(apart)
+            for k, (gram, row, sign) in enumerate(terms(hashes[~apart], at[~apart], order), 1):
+                out = []
                 by = np.argsort(gram, kind="stable")
                 gram, row, sign = gram[by], row[by], sign[by]
                 head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]) if len(gram) else by
-                if not len(head):
-                    continue
-                counts, signs = np.diff(np.r_[head, len(gram)]), np.add.reduceat(sign, head)
-                gram, row = gram[head], row[head]
-                # hashes ascend, so a bucket is a stretch of them
-                cut, number = ranges(gram, buckets)
-                for a, b, bucket in zip(cut[:-1].tolist(), cut[1:].tolist(), number.tolist(), strict=True):
-                    out.append((stretch, k, bucket, b - a, pack(gram[a:b], row[a:b], counts[a:b], signs[a:b])))
+                counts, signs = np.diff(np.r_[head, len(gram)]), np.add.reduceat(sign, head) if len(head) else head
+                first = spots[: max(0, len(spots) - k + 1)]
+                first = first[at[first] == at[np.minimum(first + k - 1, len(at) - 1)]] if k > 1 else first
+                first = first[first + k <= len(at)]
+                other = grams(hashes, k)[first]
+                by = np.argsort(other, kind="stable")
+                none = np.zeros(len(first), np.int64)
+                for place, parts in ((False, (gram[head], row[head], counts, signs)), (True, (other[by], first[by], none, none))):
+                    if not len(parts[0]):
+                        continue
+                    # hashes ascend, so a bucket is a stretch of them
+                    cut, number = ranges(parts[0], buckets)
+                    for a, b, bucket in zip(cut[:-1].tolist(), cut[1:].tolist(), number.tolist(), strict=True):
+                        out.append((stretch, k, bucket, place, b - a, pack(*(p[a:b] for p in parts))))
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=["stretch", "k", "bucket", "held", "n", "packed"])
             stretch += 1
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["stretch", "k", "bucket", "n", "packed"])
 
     # shuffled as they are made: a written copy would double the disk
-    sent = rows.mapInArrow(explode, "stretch long, k int, bucket long, n int, packed binary")
-    kept = materialise(rows.mapInArrow(heads, "stretch long, ids array<long>, n_words array<long>"), "heads")
+    sent = rows.mapInArrow(explode, "stretch long, k int, bucket long, held boolean, n int, packed binary")
+    kept = materialise(rows.mapInArrow(heads, "stretch long, ids array<long>, n_words array<long>, held array<boolean>"), "heads")
 
     def count(table: pa.Table) -> pa.Table:
         parts = [unpack(p, n, 3) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist(), strict=True)]
@@ -120,40 +148,57 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         every = np.concatenate([p[2] for p in parts]).astype(np.int64)[order_]
         f = np.add.reduceat(every, head)  # the count table of this bucket
-        log = np.rint(np.log(f) * UNIT).astype(np.int64)
+        # what only held-out rows have was counted 0 times
+        log = np.where(f > 0, np.rint(np.log(np.maximum(f, 1)) * UNIT), -1).astype(np.int64)
         value = np.empty(len(gram), np.int64)
         value[order_] = np.repeat(log, np.diff(np.r_[head, len(gram)]))
         out, at = [], 0
-        for stretch, part in zip(table.column("stretch").to_pylist(), parts, strict=True):
+        order_k = table.column("k").to_pylist()
+        for stretch, k, apart, part in zip(table.column("stretch").to_pylist(), order_k, table.column("held").to_pylist(), parts, strict=True):
             n = len(part[0])
-            sums = np.zeros(int(part[1].max()) + 1, np.int64)
-            np.add.at(sums, part[1], value[at : at + n] * part[3])
+            if apart:
+                out.append((stretch, k, part[1].astype(np.uint32).tobytes(), value[at : at + n].tobytes()))
+            else:
+                sums = np.zeros(int(part[1].max()) + 1, np.int64)
+                np.add.at(sums, part[1], value[at : at + n] * part[3])
+                touched = np.flatnonzero(sums)
+                out.append((stretch, 0, touched.astype(np.uint32).tobytes(), sums[touched].tobytes()))
             at += n
-            touched = np.flatnonzero(sums)
-            out.append((stretch, touched.astype(np.uint32).tobytes(), sums[touched].tobytes()))
         columns = list(zip(*out, strict=True))
-        return pa.table({"stretch": pa.array(columns[0], pa.int64()), "docs": pa.array(columns[1], pa.binary()), "sums": pa.array(columns[2], pa.binary())})
+        return pa.table({"stretch": pa.array(columns[0], pa.int64()), "k": pa.array(columns[1], pa.int32()), "at": pa.array(columns[2], pa.binary()), "sums": pa.array(columns[3], pa.binary())})
 
-    counted = sent.groupBy("k", "bucket").applyInArrow(count, "stretch long, docs binary, sums binary")
+    # k: 0 for sums by document, else the order of the logarithms by word
+    counted = sent.groupBy("k", "bucket").applyInArrow(count, "stretch long, k int, at binary, sums binary")
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").to_pylist()[0] if left.num_rows else []
         size = left.column("n_words").to_pylist()[0] if left.num_rows else []
-        total = np.zeros(len(ids), np.int64)
-        for d, s in zip(right.column("docs").to_pylist(), right.column("sums").to_pylist(), strict=True):
-            total[np.frombuffer(d, np.uint32)] += np.frombuffer(s, np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(size, pa.int64()), "sum": pa.array(total, pa.int64())})
-
-    summed = kept.groupBy("stretch").cogroup(counted.groupBy("stretch")).applyInArrow(add, "doc_id long, n_words long, sum long")
-    return finished(only(summed, "scores", mark), order)
-
-
-def finished(summed: DataFrame, order: int) -> DataFrame:
-    """Takes log(all words) off each word without a context (a text's first, or all at
-    order 1) and adds the mean."""
-    words_ = summed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+        apart = np.asarray(left.column("held").to_pylist()[0] if left.num_rows else [], bool)
+        total, n_words = np.zeros(len(ids), np.int64), np.asarray(size, np.int64)
+        bare = np.where(order == 1, n_words, np.minimum(n_words, 1))
+        logs = [np.full(int(n_words.sum()), -1, np.int64) for _ in range(order)] if apart.any() else []
+        for k, d, s in zip(right.column("k").to_pylist(), right.column("at").to_pylist(), right.column("sums").to_pylist(), strict=True):
+            to = logs[k - 1] if k else total
+            to[np.frombuffer(d, np.uint32)] += np.frombuffer(s, np.int64) + (1 if k else 0)
+        if logs:
+            row = np.repeat(np.arange(len(ids)), n_words)
+            score, alone = backed_off(logs, np.arange(len(row)) - np.repeat(np.cumsum(n_words) - n_words, n_words))
+            sums, n_bare = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            np.add.at(sums, row, score)
+            np.add.at(n_bare, row, alone.astype(np.int64))
+            total, bare = np.where(apart, sums, total), np.where(apart, n_bare, bare)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(size, pa.int64()), "sum": pa.array(total, pa.int64()), "bare": pa.array(bare, pa.int64()), "held": pa.array(apart, pa.bool_())})
+
+    summed = kept.groupBy("stretch").cogroup(counted.groupBy("stretch")).applyInArrow(add, "doc_id long, n_words long, sum long, bare long, held boolean")
+    return finished(only(summed, "scores", mark))
+
+
+def finished(summed: DataFrame) -> DataFrame:
+    """Takes log(all words that are counted) off each of the ``bare`` words, whose score has
+    no context, and adds the mean."""
+    words_ = summed.filter(~F.col("held")).agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     whole = round(float(np.log(words_)) * UNIT) if words_ else 0
-    score = F.when(F.col("n_words") > 0, F.col("sum") - F.lit(whole) * (F.col("n_words") if order == 1 else 1)).otherwise(0).cast("long")
+    score = F.when(F.col("n_words") > 0, F.col("sum") - F.lit(whole) * F.col("bare")).otherwise(0).cast("long")
     return summed.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / UNIT / F.col("n_words")).alias("mean_log"))
 
 

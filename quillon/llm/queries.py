@@ -70,6 +70,30 @@ FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
 
+def op5_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff trigram scores of every document; each tenth is held out and scored
+    against the rest."""
+    return lm.score_corpus(read_table(spark, sf_dir, "documents"), 3, F.col("doc_id") % 10 == 0).drop("mean_log")
+
+
+OP5_BACKOFF = r"""
+WITH d AS (SELECT doc_id, coalesce(doc_id % 10 = 0, false) AS held, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, held, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+x AS (SELECT doc_id, held, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM t),
+l1 AS (SELECT c, CAST(round_even(ln(count(*)) * 1000000, 0) AS BIGINT) AS log FROM x WHERE NOT held GROUP BY c),
+l2 AS (SELECT b, c, CAST(round_even(ln(count(*)) * 1000000, 0) AS BIGINT) AS log FROM x WHERE NOT held AND i > 1 GROUP BY b, c),
+l3 AS (SELECT a, b, c, CAST(round_even(ln(count(*)) * 1000000, 0) AS BIGINT) AS log FROM x WHERE NOT held AND i > 2 GROUP BY a, b, c),
+k AS (SELECT CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) AS alpha, (SELECT CASE WHEN count(*) > 0 THEN CAST(round_even(ln(greatest(count(*), 1)) * 1000000, 0) AS BIGINT) ELSE 0 END FROM x WHERE NOT held) AS n),
+s AS (SELECT x.doc_id, sum(CASE WHEN abc.log IS NOT NULL THEN abc.log - ab.log
+                                WHEN bc.log IS NOT NULL THEN bc.log - b.log + (least(i, 3) - 2) * alpha
+                                ELSE coalesce(c.log, 0) - n + (least(i, 3) - 1) * alpha END) AS s
+      FROM x CROSS JOIN k LEFT JOIN l3 abc ON abc.a = x.a AND abc.b = x.b AND abc.c = x.c LEFT JOIN l2 ab ON ab.b = x.a AND ab.c = x.b
+             LEFT JOIN l2 bc ON bc.b = x.b AND bc.c = x.c LEFT JOIN l1 b ON b.c = x.b LEFT JOIN l1 c ON c.c = x.c GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(s, 0) AS BIGINT) AS log_score
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = read_table(spark, sf_dir, "documents")
@@ -105,6 +129,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pii": op4_pii,
     "op5_lm_scoring": op5_lm_scoring,
+    "op5_lm_backoff": op5_lm_backoff,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
@@ -114,4 +139,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_top_k": OP1,
     "op5_lm_scoring": OP5,
+    "op5_lm_backoff": OP5_BACKOFF,
 }

@@ -50,6 +50,43 @@ def test_new_documents_back_off(spark):
     assert got[3] == pytest.approx(math.log(1 / 5)) and got[4] == 0
 
 
+def test_held_out_rows_back_off_from_the_rest(spark):
+    rows = [(1, "a b c a b d", False), (2, "c a b c", False), (3, "a b c zz a b d q", True), (4, "q", True), (5, None, True), (6, "zz a c", None)]
+    counts, log = Counter(), lambda f: round(math.log(f) * 1e6)
+    for _, t, held in rows:
+        w = words(t)
+        counts.update(tuple(w[i : i + k]) for k in range(1, 4) for i in range(len(w) - k + 1) if not held)
+    total = sum(len(words(t)) for _, t, held in rows if not held)
+
+    def score(w):
+        s = 0
+        for i in range(len(w)):
+            longest = min(3, i + 1)
+            k = next((k for k in range(longest, 0, -1) if counts[tuple(w[i - k + 1 : i + 1])]), 0)
+            s += log(counts[tuple(w[i - k + 1 : i + 1])]) - log(counts[tuple(w[i - k + 1 : i])]) if k > 1 else log(max(1, counts[(w[i],)])) - log(total)
+            s += (longest - max(1, k)) * log(0.4)
+        return s
+
+    got = lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), 3, F.col("held")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["log_score"]) for r in got) == [(i, len(words(t)), score(words(t))) for i, t, _ in rows]
+
+
+def test_the_registered_backoff_query_equals_its_oracle(spark):
+    import os
+
+    import duckdb
+
+    from quillon.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = [tuple(r) for r in queries.op5_lm_backoff(spark, sf).select("doc_id", "n_words", "log_score").collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(queries.OP5_BACKOFF).fetchall(), key=repr)
+
+
 def test_empty_corpus(spark):
     assert lm.score_corpus(empty(spark)).count() == 0
 
