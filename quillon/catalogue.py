@@ -418,23 +418,25 @@ same("h14_hex", "SELECT n_nationkey, hex(n_name) AS h FROM nation", "nation")
 # --- I. statements that change rows -----------------------------------------------------
 
 CUSTOMER = "c_custkey", "c_name", "c_nationkey"
+#: The rows of the queries whose oracles are given for them; their ``_whole`` forms take all.
+PART, ALL = "c_custkey <= 500", "true"
 
 
-def _customers(spark, sf_dir) -> VersionedTable:
-    rows = table(spark, sf_dir, "customer").select(*CUSTOMER).filter("c_custkey <= 500")
+def _customers(spark, sf_dir, part: str = PART) -> VersionedTable:
+    rows = table(spark, sf_dir, "customer").select(*CUSTOMER).filter(part)
     return VersionedTable.create(rows, scratch(spark), ["c_custkey"])
 
 
 @pair("i1_insert", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500 UNION ALL VALUES (CAST(100001 AS BIGINT), 'new', 3), (100002, 'new too', NULL)")
-def _insert(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+def _insert(spark, sf_dir, part=PART):
+    t = _customers(spark, sf_dir, part)
     t.insert(spark.createDataFrame([(100001, "new", 3), (100002, "new too", None)], "c_custkey long, c_name string, c_nationkey int"))
     return t.read()
 
 
 @pair("i2_insert_select", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500 UNION ALL SELECT c_custkey + 200000, c_name, c_nationkey FROM customer WHERE c_nationkey = 1")
-def _insert_select(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+def _insert_select(spark, sf_dir, part=PART):
+    t = _customers(spark, sf_dir, part)
     t.insert(table(spark, sf_dir, "customer").filter("c_nationkey = 1").select((F.col("c_custkey") + 200000).alias("c_custkey"), "c_name", "c_nationkey"))
     return t.read()
 
@@ -463,16 +465,16 @@ QUERIES["i5_replace"] = _replace
 
 
 @pair("i6_update", "SELECT c_custkey, CASE WHEN c_nationkey = 2 THEN 'n' || (c_nationkey + 1) ELSE c_name END AS c_name, CASE WHEN c_nationkey = 2 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey <= 500")
-def _update(spark, sf_dir):
+def _update(spark, sf_dir, part=PART):
     """The second assignment sees the first."""
-    t = _customers(spark, sf_dir)
+    t = _customers(spark, sf_dir, part)
     t.update(F.col("c_nationkey") == 2, {"c_nationkey": F.col("c_nationkey") + 1, "c_name": F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))})
     return t.read()
 
 
 @pair("i7_delete", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500 AND NOT (c_nationkey < 5)")
-def _delete(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+def _delete(spark, sf_dir, part=PART):
+    t = _customers(spark, sf_dir, part)
     t.delete(F.col("c_nationkey") < 5)
     return t.read()
 
@@ -493,8 +495,8 @@ def _reference_check(spark, sf_dir):
 
 
 @pair("j2_alter_table", "SELECT c_custkey, c_name AS title, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(0 AS BIGINT) AS points FROM customer WHERE c_custkey <= 500")
-def _alter(spark, sf_dir):
-    t = _customers(spark, sf_dir)
+def _alter(spark, sf_dir, part=PART):
+    t = _customers(spark, sf_dir, part)
     t.alter(lambda df: df.withColumnRenamed("c_name", "title").withColumn("c_nationkey", F.col("c_nationkey").cast("string")).withColumn("points", F.lit(0).cast("long")))
     return t.read()
 
@@ -506,10 +508,10 @@ def _view(spark, sf_dir):
 
 
 @pair("j6_j7_materialised_view", "SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_custkey <= 500 AND c_custkey % 2 = 0 GROUP BY 1")
-def _matview(spark, sf_dir):
+def _matview(spark, sf_dir, part=PART):
     from quillon.plans.matviews import MaterialisedView
 
-    t = _customers(spark, sf_dir)
+    t = _customers(spark, sf_dir, part)
     view = MaterialisedView(spark, scratch(spark), {"t": t}, lambda s: s["t"].groupBy("c_nationkey").agg(F.count("*").alias("n")))
     view.refresh()
     t.delete(F.col("c_custkey") % 2 == 1)
@@ -518,10 +520,10 @@ def _matview(spark, sf_dir):
 
 
 @pair("j8_incremental_refresh", "SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'seven' ELSE c_name END AS c_name FROM customer WHERE c_custkey <= 500 AND c_nationkey > 3 AND c_custkey <> 11")
-def _incremental(spark, sf_dir):
+def _incremental(spark, sf_dir, part=PART):
     from quillon.plans.matviews import MaterialisedView
 
-    t = _customers(spark, sf_dir)
+    t = _customers(spark, sf_dir, part)
     view = MaterialisedView(spark, scratch(spark), {"t": t}, lambda s: s["t"].filter("c_nationkey > 3").select("c_custkey", "c_name"), row_key=["c_custkey"])
     view.refresh()
     t.update(F.col("c_custkey") == 7, {"c_name": F.lit("seven")})
@@ -542,12 +544,12 @@ def _create_table(spark, sf_dir):
 
 
 @pair("i10_updatable_view", "SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'seven' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey <= 500 AND NOT (c_nationkey = 7 AND c_custkey < 100)")
-def _updatable_view(spark, sf_dir):
+def _updatable_view(spark, sf_dir, part=PART):
     from quillon.plans.engine import Engine
 
     e = Engine(spark, scratch(spark))
     e.register("customer", table(spark, sf_dir, "customer"))
-    e.execute("CREATE TABLE c AS SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey <= 500")
+    e.execute(f"CREATE TABLE c AS SELECT c_custkey, c_name, c_nationkey FROM customer WHERE {part}")
     e.execute("CREATE VIEW seven AS SELECT c_custkey, c_name, c_nationkey FROM c WHERE c_nationkey = 7")
     e.execute("UPDATE seven SET c_name = 'seven'")
     e.execute("DELETE FROM seven WHERE c_custkey < 100")
@@ -618,46 +620,85 @@ def _triggers(spark, sf_dir):
 # --- L. change streams ------------------------------------------------------------------
 
 
-def _changed(spark, sf_dir) -> VersionedTable:
-    t = _customers(spark, sf_dir)
+def _changed(spark, sf_dir, part=PART) -> VersionedTable:
+    t = _customers(spark, sf_dir, part)
     t.update(F.col("c_nationkey") == 4, {"c_name": F.lit("four")})
     t.delete(F.col("c_nationkey") == 5)
     return t
 
 
 @pair("l2_change_events", "SELECT CAST(2 AS BIGINT) AS lsn, 'PUT' AS op, c_custkey FROM customer WHERE c_custkey <= 500 AND c_nationkey = 4 UNION ALL SELECT 3, 'DELETE', c_custkey FROM customer WHERE c_custkey <= 500 AND c_nationkey = 5")
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, part=PART):
     """The feed after the first statement, drained by a stream."""
     from quillon.streaming.changefeed import drain, subscribe
 
-    t, path = _changed(spark, sf_dir), scratch(spark)
+    t, path = _changed(spark, sf_dir, part), scratch(spark)
     drain(subscribe(t, from_lsn=1, keys_only=True), lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/b={n}"), f"{path}-at")
     return spark.read.parquet(path).select("lsn", "op", "c_custkey")
 
 
 @pair("l4_filtered_events", "SELECT CAST(3 AS BIGINT) AS lsn, c_custkey FROM customer WHERE c_custkey <= 500 AND c_nationkey = 5")
-def _filtered_events(spark, sf_dir):
-    return _changed(spark, sf_dir).changes().filter("op = 'DELETE'").select("lsn", "c_custkey")
+def _filtered_events(spark, sf_dir, part=PART):
+    return _changed(spark, sf_dir, part).changes().filter("op = 'DELETE'").select("lsn", "c_custkey")
 
 
 @pair("l6_show_events", "SELECT CAST(1 AS BIGINT) AS lsn, c_custkey FROM customer WHERE c_custkey < 20")
-def _show_events(spark, sf_dir):
+def _show_events(spark, sf_dir, part=PART):
     from quillon.streaming.changefeed import events
 
-    return events(_changed(spark, sf_dir), limit=20).select("lsn", "c_custkey")
+    return events(_changed(spark, sf_dir, part), limit=20).select("lsn", "c_custkey")
 
 
 @pair("l7_latest_state", "SELECT c_custkey, CASE WHEN c_nationkey = 4 THEN 'four' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey <= 500 AND c_nationkey <> 5")
-def _latest(spark, sf_dir):
+def _latest(spark, sf_dir, part=PART):
     from quillon.streaming.changefeed import Replica, drain, subscribe
 
-    t, path = _changed(spark, sf_dir), scratch(spark)
+    t, path = _changed(spark, sf_dir, part), scratch(spark)
     replica = Replica(spark, f"{path}/replica", ["c_custkey"], t.read())
     drain(subscribe(t), replica.apply, f"{path}/at")
     return replica.read()
 
 
 @pair("l7_latest_state_batch", ORACLES["l7_latest_state"])
-def _latest_batch(spark, sf_dir):
-    t = _changed(spark, sf_dir)
+def _latest_batch(spark, sf_dir, part=PART):
+    t = _changed(spark, sf_dir, part)
     return replay(t.read().limit(0), t.changes(), ["c_custkey"])
+
+
+# --- the same statements over whole tables ----------------------------------------------
+
+
+def _whole(name: str, query: Callable[..., DataFrame], oracle: str) -> None:
+    pair(f"{name}_whole", oracle)(lambda spark, sf_dir: query(spark, sf_dir, ALL))
+
+
+for _name, _query in {"i1_insert": _insert, "i2_insert_select": _insert_select, "i6_update": _update, "i7_delete": _delete, "j2_alter_table": _alter, "j6_j7_materialised_view": _matview, "j8_incremental_refresh": _incremental, "i10_updatable_view": _updatable_view, "l2_change_events": _events, "l4_filtered_events": _filtered_events, "l6_show_events": _show_events, "l7_latest_state": _latest, "l7_latest_state_batch": _latest_batch}.items():
+    _whole(_name, _query, ORACLES[_name].replace(f"WHERE {PART} AND ", "WHERE ").replace(f" WHERE {PART}", ""))
+
+#: The customers of a nation under their own keys, which the table has, and under new ones.
+INCOMING = "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey = 1 UNION ALL SELECT c_custkey + 200000, c_name, c_nationkey FROM customer WHERE c_nationkey = 1"
+
+
+@pair("i4_upsert_whole", "SELECT c_custkey, CASE WHEN c_nationkey = 1 THEN c_name || '!' ELSE c_name END AS c_name, c_nationkey FROM customer UNION ALL SELECT c_custkey + 200000, c_name, c_nationkey FROM customer WHERE c_nationkey = 1")
+def _upsert_whole(spark, sf_dir):
+    t = _customers(spark, sf_dir, ALL)
+    t.upsert(sql_over(spark, sf_dir, INCOMING, "customer"), {"c_name": F.concat("c_name", F.lit("!"))})
+    return t.read()
+
+
+@pair("i5_replace_whole", "SELECT c_custkey, CASE WHEN c_nationkey = 1 THEN 'r' ELSE c_name END AS c_name, c_nationkey FROM customer UNION ALL SELECT c_custkey + 200000, 'r', c_nationkey FROM customer WHERE c_nationkey = 1")
+def _replace_whole(spark, sf_dir):
+    t = _customers(spark, sf_dir, ALL)
+    t.replace(sql_over(spark, sf_dir, INCOMING, "customer").withColumn("c_name", F.lit("r")))
+    return t.read()
+
+
+@pair("a8_ordered_scan_whole", "SELECT c_custkey, c_name FROM customer")
+def _ordered_scan_whole(spark, sf_dir):
+    """All of a table written in key order, in that order."""
+    path = scratch(spark)
+    files.export_parquet(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, sort_by=["c_custkey"])
+    return spark.read.parquet(path).orderBy("c_custkey")
+
+
+same("d13_order_groups_whole", "SELECT p_brand, p_size, COUNT(*) AS n FROM part GROUP BY p_brand, p_size ORDER BY p_brand, p_size DESC", "part")
