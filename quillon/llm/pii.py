@@ -9,7 +9,9 @@ Patterns are written for a backtracking engine: possessive groups iterate instea
 recursing (no stack overflow on runs of 100,000 digits), and a look-behind starts a
 proposal only at the head of a run, which any match of these patterns must start at
 unless the match before ended inside the run (``\\G``). Both keep time linear in the text
-and change no result.
+and change no result. An IBAN's end is not told by the characters after it, so each head (two
+letters, two digits) proposes what follows up to the longest IBAN without taking it, and the
+checksum is tried where a word of the proposal ends.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters of an IBAN by country; other countries' may have 15 to 34.
+LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()
 #: A text without this holds no match of the kind.
 NEEDS = {"email": r"@[A-Za-z0-9]|@-", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"-[0-9]{2}-"}
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
@@ -56,6 +60,21 @@ def _mod97(iban: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise((acc * F.when(F.ascii(c) >= 65, 100).otherwise(10) + value(c)) % 97))
 
 
+def _iban(proposed: Column) -> Column:
+    """The longest beginning of a proposal, up to the end of one of its words, that has its
+    country's length and the checksum; null if none has."""
+    known = F.create_map(*(F.lit(x) for c in LENGTHS for x in (c[:2], int(c[2:]))))
+    length = F.element_at(known, F.substring(proposed, 1, 2))
+    words = F.split(proposed, " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+
+    def valid(head: Column) -> Column:
+        n = F.length(F.replace(head, F.lit(" "), F.lit("")))
+        return F.when(F.coalesce(n == length, n.between(15, 34)), _mod97(head) == 1).otherwise(False)
+
+    return F.try_element_at(F.filter(heads, valid), F.lit(-1))
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     digits = _digits(match)
     if kind == "email":
@@ -67,8 +86,6 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), F.call_function("luhn_check", digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return _mod97(match) == 1
     return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
 
 
@@ -77,21 +94,28 @@ def spans_of(text: Column, kind: str) -> Column:
     exclusive), score. Null text: no spans."""
     pattern = F.lit(PATTERNS[kind])
     matches, gaps = F.regexp_extract_all(text, pattern, 0), F.split(text, PATTERNS[kind], -1)
+    # an IBAN's match is its head, the proposal is what the look-ahead saw
+    proposals = F.regexp_extract_all(text, pattern, 1) if kind == "iban" else matches
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {SPANS})").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         gap, match = pair["gaps"], pair["matches"]
         begin = acc["at"] + F.length(gap)
-        end = begin + F.length(match)
+        found = _iban(pair["proposals"]) if kind == "iban" else match
+        end = begin + F.length(found)
         near = F.lower(F.right(gap, F.lit(NEAR)))
         score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(RAISE)).otherwise(F.lit(0.0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        keep = _confirmed(kind, match)
+        if kind == "iban":  # none begins inside another
+            last = F.coalesce(F.try_element_at(acc["found"], F.lit(-1))["end"], F.lit(0))
+            keep = found.isNotNull() & (begin >= last)
+        else:
+            keep = _confirmed(kind, match)
         if kind not in BASE_KINDS:
             keep = keep & (score >= THRESHOLD)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        return F.struct((begin + F.length(match)).alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), lambda p: p["matches"].isNotNull())
+    pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches"), proposals.alias("proposals")), lambda p: p["matches"].isNotNull())
     found = F.aggregate(pairs, start, step, lambda acc: acc["found"])
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
 

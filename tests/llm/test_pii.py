@@ -52,6 +52,15 @@ def test_added_kinds(spark):
     assert [s for s in row["spans"].split(",") if s[:4] in ("iban", "ssn:")] == [f"iban:{text.index('GB82')}:{text.index('GB82') + 27}", f"ssn:{at}:{at + 11}"]
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    de, gb, no, be = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "BE68539007547034"
+    texts = {f"IBAN {de} The": [de], f"IBAN {gb} Please pay": [gb], f"{de} BIC COBADEFFXXX": [de], f"{de} 12 euros": [de], f"{no} {be} X": [no, be], f"{de} {gb} {no} 1 A": [de, gb, no], f"é😀 {gb}\nB2": [gb], f"x{de} A": [], f"{de}A B": [], f"{de[:-1]}1 The": [], "AB12 " * 20_000: []}
+    rows = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        got = [tuple(map(int, x.split(":")[1:])) for x in rows[i].split(",") if x.startswith("iban")]
+        assert [text[a:b] for a, b in got] == want, text[:60]
+
+
 def test_redaction(spark):
     text = "é😀 write me@example.org, call +1 555 010 9999 or 10.0.0.1"
     found = pii.redact(pii.find(spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id long, text string")))
