@@ -20,6 +20,8 @@ from quillon.llm.common import materialise
 #: Weights by rank of the source, repeating, and how often a source may repeat.
 WEIGHTS, MOST = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
+#: Blocks of the smallest source at least, as far as it has words.
+LEAST_BLOCKS = 100
 #: Words of a block at most, of a shard at least; shards at most besides one for each source.
 BLOCK, SHARD, SHARDS = 4096, 1_000_000, 16_384
 
@@ -82,6 +84,14 @@ def sources_of(sized: DataFrame) -> list[Source]:
     return [Source(name, n, w, t) for (name, n), w, t in zip(rows, weights, goals, strict=True)]
 
 
+def block_of(sources: list[Source]) -> int:
+    """Words of a block: few enough that the smallest source that has words comes near its
+    target. Blocks are only counted, so their number costs nothing."""
+    total = sum(s.size for s in sources)
+    smallest = min((s.size for s in sources if s.size), default=0)
+    return max(1, min(BLOCK, total // (1000 * max(1, len(sources))), smallest // LEAST_BLOCKS))
+
+
 def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -94,7 +104,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     sized = materialise(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size")), "sizes")
     sources = sources_of(sized)
     total = sum(s.size for s in sources)
-    block = max(1, min(BLOCK, total // (1000 * max(1, len(sources)))))
+    block = block_of(sources)
     least = max(SHARD, total // SHARDS)
     shards = [max(1, -(-s.size // least)) for s in sources]
     table = spark.createDataFrame([(s.name, i, shards[i], s.size, s.target) for i, s in enumerate(sources)], "source string, source_no int, shards int, source_size long, target double")

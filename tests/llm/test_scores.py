@@ -131,6 +131,22 @@ def test_without_letters_or_labels(spark):
 # --- mixing -----------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("total", [80_000_000, 5_000_000_000])
+def test_small_sources_come_near_their_targets(total):
+    sizes = [total // 3] + [total * 2 // 57] * 19 + [300, 500, 700, 1500, 2000, 7]
+    goals = mixing.targets(sizes, weights := [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
+    sources = [mixing.Source(str(i), z, w, g) for i, (z, w, g) in enumerate(zip(sizes, weights, goals, strict=True))]
+    plan = mixing.quotas(sources, {(i, 0): z for i, z in enumerate(sizes)}, mixing.block_of(sources), 7)
+    for i, _, passes, a, b, c in plan:
+        assert abs(passes * sizes[i] + b - a + c - goals[i]) <= max(1, 0.02 * goals[i]), (i, sizes[i], goals[i])
+
+
+def test_a_small_source_keeps_its_documents(spark):
+    rows = [(i, "w " * 30_000, "ab"[i % 2]) for i in range(40)] + [(100 + i, "w " * 10, "c") for i in range(10)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("source = 'c'").collect()
+    assert sum(r["taken"] for r in got) == pytest.approx(300, rel=0.02) and all(r["copies"] == 3 for r in got)
+
+
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
 def test_targets(sizes):
     weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
