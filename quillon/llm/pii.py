@@ -30,7 +30,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])(?=([^0-9]{0,40}))",
 }
 #: Characters of an IBAN by country; other countries' may have 15 to 34.
 LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()
@@ -40,10 +40,13 @@ PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP = rf"^{PART}(?:\.{PART}){{3}}$"
 
 #: Score of a confirmed span by kind, and words that raise it by ``RAISE``
-#: when they stand within ``NEAR`` characters before the span.
+#: when they stand within ``NEAR`` characters before the span and after the match before it.
+#: For ssn, also within as many after it, before the next digit; and what raised a match
+#: raises those that are listed after it, with nothing but ``LISTED`` between.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment|amex", "phone": "phone|tel|call|mobile|fax", "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security"}
 RAISE, NEAR, THRESHOLD = 0.3, 40, 0.5
+LISTED = r"^[^A-Za-z0-9]{0,10}(?:(?:and|or|und|oder|et|ou|y|o)\b[^A-Za-z0-9]{0,10})?$"
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
@@ -95,8 +98,9 @@ def spans_of(text: Column, kind: str) -> Column:
     pattern = F.lit(PATTERNS[kind])
     matches, gaps = F.regexp_extract_all(text, pattern, 0), F.split(text, PATTERNS[kind], -1)
     # an IBAN's match is its head, the proposal is what the look-ahead saw
-    proposals = F.regexp_extract_all(text, pattern, 1) if kind == "iban" else matches
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {SPANS})").alias("found"))
+    # an SSN's group is what stands after it
+    proposals = F.regexp_extract_all(text, pattern, 1) if kind in ADDED_KINDS else matches
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("raised"), F.expr(f"cast(array() as {SPANS})").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         gap, match = pair["gaps"], pair["matches"]
@@ -104,7 +108,10 @@ def spans_of(text: Column, kind: str) -> Column:
         found = _iban(pair["proposals"]) if kind == "iban" else match
         end = begin + F.length(found)
         near = F.lower(F.right(gap, F.lit(NEAR)))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(RAISE)).otherwise(F.lit(0.0))
+        raised = near.rlike(rf"\b(?:{CONTEXT[kind]})")
+        if kind == "ssn":
+            raised = raised | F.lower(pair["proposals"]).rlike(rf"\b(?:{CONTEXT[kind]})") | (acc["raised"] & gap.rlike(LISTED))
+        score = F.lit(SCORES[kind]) + F.when(raised, F.lit(RAISE)).otherwise(F.lit(0.0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
         if kind == "iban":  # none begins inside another
             last = F.coalesce(F.try_element_at(acc["found"], F.lit(-1))["end"], F.lit(0))
@@ -113,7 +120,7 @@ def spans_of(text: Column, kind: str) -> Column:
             keep = _confirmed(kind, match)
         if kind not in BASE_KINDS:
             keep = keep & (score >= THRESHOLD)
-        return F.struct((begin + F.length(match)).alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        return F.struct((begin + F.length(match)).alias("at"), raised.alias("raised"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches"), proposals.alias("proposals")), lambda p: p["matches"].isNotNull())
     found = F.aggregate(pairs, start, step, lambda acc: acc["found"])

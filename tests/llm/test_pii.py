@@ -61,6 +61,12 @@ def test_ibans_before_capitals_and_digits(spark):
         assert [text[a:b] for a, b in got] == want, text[:60]
 
 
+def test_listed_numbers_and_context_after(spark):
+    texts = {"SSNs: 123-45-6789, 234-56-7890 and 345-67-8901": 3, "123-45-6789 (SSN)": 1, "parts 123-45-6789, 234-56-7890": 0, "ssn 123-45-6789, part 234-56-7890": 1}
+    rows = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i].count("ssn:") for i in range(len(texts))] == list(texts.values())
+
+
 def test_redaction(spark):
     text = "é😀 write me@example.org, call +1 555 010 9999 or 10.0.0.1"
     found = pii.redact(pii.find(spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id long, text string")))
