@@ -32,16 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: its smallest doc_id (of equal
-    rows with it, one). Documents without words have no duplicates, and stay; so do rows
-    without a doc_id whose group has none."""
-    groups = jaccard.jaccard_components(docs, SHINGLE, PERCENT).select("doc_id", "n_shingles", "component_id")
-    stays = groups.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """Keeps one row of each group of near duplicates, whatever their ids: of its smallest
+    doc_id (null last). Documents without words have no duplicates, and stay."""
+    stays = jaccard.surviving_rows(docs, SHINGLE, PERCENT).withColumnsRenamed({"doc_id": "_kept", "tid": "_text"})
     empty = docs.select(COLUMNS).filter(mixing.size_of() == 0)
-    worded = docs.select(COLUMNS).filter(mixing.size_of() > 0)
-    kept = worded.join(stays.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # rows that share an id are one document only if they are equal
-    return kept.dropDuplicates(COLUMNS).unionByName(empty)
+    worded = docs.select(*COLUMNS, F.unhex(F.md5("text")).alias("_tid")).filter(mixing.size_of() > 0)
+    kept = worded.join(stays, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_tid") == F.col("_text")), "left_semi")
+    # rows that share an id and a text are one document
+    one = kept.groupBy("doc_id", "_tid").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*")
+    return one.unionByName(empty)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

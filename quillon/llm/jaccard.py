@@ -322,6 +322,21 @@ class Join:
         return rows.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+    def survivors(self) -> DataFrame:
+        labels = components(self.links())
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+        sets = self.rows.filter("n > 0").groupBy("key").agg(F.min("nid").alias("nid"), F.min(row).alias("row"))
+        named = sets.join(labels, F.col("nid") == F.col("node"), "left").select("row", F.coalesce("component", "nid").alias("component"))
+        return named.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.tid")
+
+
+def surviving_rows(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id and tid (MD5 of the text, binary) of one row of each component of the rows
+    with shingles: of its smallest doc_id, and the least tid of that; null ids come last."""
+    mark = written()
+    return only(Join(docs, width, percent).survivors(), "survivors", mark)
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id for every row: the smallest doc_id that links
     reach. Documents link when their sets of ``width``-word shingles have a Jaccard

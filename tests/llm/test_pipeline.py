@@ -24,6 +24,15 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 4, 5, 6]
 
 
+def test_near_duplicates_go_whatever_their_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    near = lambda t, n: t.replace(f"{n}77 ", "other ")
+    rows = [(None, a), (None, near(a, "a")), (1, b), (None, near(b, "b")), (2, c), (3, near(c, "c")), (3, "quite another text of several words"), (3, "quite another text of several words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert len(kept) == 4 and sum(i is None for i, _ in kept) == 1 and [x for x in kept if x[0] is not None] == [(1, b), (2, c), (3, "quite another text of several words")]
+
+
 def test_personal_data_goes(spark):
     rows = [(1, "call +1 555 010 9999 now", "en", "a", 24), (2, None, None, None, None)]
     got = p.personal_data(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
