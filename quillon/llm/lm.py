@@ -1,33 +1,39 @@
 """Stupid-backoff scores, computed relationally.
 
 The n-gram count table is partitioned by n-gram hash, and so are the documents' n-grams:
-each task that reads a stretch of documents sends every bucket the sorted hashes that fall
-into it, with the documents and counts (one packed, compressed row for a stretch, order
-and bucket). A bucket adds up its counts, which is its part of the table, joins them to its
-own n-grams, and returns the logarithms summed by document; these are summed once more.
-
-A word's score is f(its n-gram) / f(the n-gram without it), both counted over the whole
-corpus, for the longest n-gram up to ``order`` that the document's start allows; a first
-word scores f(word) / words. N-grams of corpus documents are never unseen, so nothing backs
-off there. Rows that are ``held`` out are counted nowhere: their n-grams travel with their
-places instead of counts, come back with the logarithms of the others' counts, and each word
-takes its longest seen n-gram, ``BACKOFF`` for each one tried before. ``score_new`` scores
-other documents against a count table. Logarithms are summed as integers of 1e-6, so sums
-don't depend on their order.
+each task that reads a stretch of documents sends every bucket the distinct hashes of the
+stretch that fall into it, sorted, with their counts (one packed, compressed row for a
+stretch, order and bucket). A bucket adds up the counts, which is its part of the table,
+joins them to what it was sent, and returns the table's counts in the same order. Where the
+stretch's texts meet these, each word is scored, and the scores are summed by document.
+
+Every row is scored against all the other rows: its own counts are taken off the table's.
+A word's score is f(n-gram) / f(n-gram without the word) for the longest n-gram of up to
+``order`` words that ends in it, lies within the document and occurs elsewhere, times
+``BACKOFF`` for each longer one; a word that occurs nowhere else counts as seen once among
+all other rows' words. ``score_new`` scores documents against a given count table.
+Logarithms are summed as integers of 1e-6, so sums don't depend on their order.
+
+An n-gram has one entry for each stretch that holds it, however many documents do, so the
+most frequent ones bring no bucket more than the number of stretches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, mix64, only, slices, written
-from quillon.llm.packed import pack, ranges, unpack
+from quillon.llm.packed import CODEC, pack, ranges, unpack
 from quillon.llm.shingles import PLACE, words
 
-ORDER, BACKOFF, UNIT = 2, 0.4, 1_000_000
+ORDER, BACKOFF, UNIT = 3, 0.4, 1_000_000
+ALPHA = round(float(np.log(BACKOFF)) * UNIT)
 #: Text bytes of a stretch, of what is hashed at once, and of all texts for each bucket.
 STRETCH, SLICE, BUCKET = 8 << 20, 1 << 20, 16 << 20
 
@@ -46,160 +52,170 @@ def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and rows of a stretch, hashed in small slices for the memory's sake."""
     found, rows, first = [], [], 0
     for part in slices(iter([batch]), most=SLICE):
-        hashes, at = words(part.column(1))
+        hashes, at = words(part.column(part.schema.get_field_index("text")))
         found.append(hashes)
         rows.append(at + first)
         first += part.num_rows
     return (np.concatenate(found), np.concatenate(rows)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def terms(hashes: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By order k: the k-grams of all rows, the row of each, and how its logarithm counts:
-    1 where it scores a word, less 1 where it is another word's context."""
+def within(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-grams that lie within a row, and the words at which they begin."""
+    at = np.arange(max(0, len(hashes) - k + 1))
+    at = at[rows[at] == rows[at + k - 1]] if k > 1 else at
+    return grams(hashes, k)[at], at
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows in stretches of about ``STRETCH`` bytes of text, whatever batches bring them,
+    each with a name made from its contents."""
+    held, size = [], 0
+
+    def joined() -> tuple[int, pa.RecordBatch]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        name = xxhash.xxh3_64()
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = text.as_buffer() or b""
+            name.update(b"%d:%d:" % (-1 if doc is None else doc, len(raw)))
+            name.update(raw)
+        return name.intdigest() - (1 << 63), batch
+
+    for part in slices(batches, most=STRETCH):
+        more = part.column(1).nbytes
+        if held and size + more > STRETCH:
+            yield joined()
+            held, size = [], 0
+        held.append(part)
+        size += more
+    if held:
+        yield joined()
+
+
+def logs(counts: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(np.maximum(counts, 1)) * UNIT).astype(np.int64)
+
+
+def scored(hashes: np.ndarray, rows: np.ndarray, n_rows: int, table: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """By row, the sum of its words' scores without log(other rows' words), and how often
+    that is to be taken off. ``table`` has by order the distinct n-grams, and their counts in
+    the whole corpus."""
     n = len(hashes)
     place = np.arange(n) - np.searchsorted(rows, rows)  # in the row
-    size = np.bincount(rows, minlength=int(rows[-1]) + 1)[rows] if n else rows
-    out = []
-    for k in range(1, order + 1):
-        at = np.arange(max(0, n - k + 1))
-        at = at[rows[at] == rows[at + k - 1]]
-        scores = (place[at] == 0) if k < order else np.ones(len(at), bool)
-        context = (k < order) & (place[at] + k < size[at]) & ((place[at] == 0) | (k == order - 1))
-        out.append((grams(hashes, k)[at], rows[at], scores.astype(np.int64) - context.astype(np.int64)))
-    return out
-
-
-def backed_off(logs: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its score without log(all words), and whether that is to be taken off.
-    ``logs`` has by order the logarithm of the count of the n-gram that begins at each word,
-    below 0 where it is unseen; ``place`` is the word's place in its row."""
-    n, alpha = len(place), round(float(np.log(BACKOFF)) * UNIT)
-    longest = np.minimum(place + 1, len(logs))
-    score, bare = (longest - 1) * alpha + np.maximum(logs[0], 0), np.ones(n, bool)
-    for k in range(2, len(logs) + 1):
-        word = np.flatnonzero(place >= k - 1)
-        word = word[logs[k - 1][word - k + 1] >= 0]
-        score[word] = logs[k - 1][word - k + 1] - logs[k - 2][word - k + 1] + (longest[word] - k) * alpha
-        bare[word] = False
-    return score, bare
-
-
-def score_corpus(docs: DataFrame, order: int = ORDER, held: Column | None = None) -> DataFrame:
+    longest = np.minimum(place + 1, len(table))
+    score, bare, lower = np.zeros(n, np.int64), np.ones(n, bool), None
+    for k, (distinct, counts) in enumerate(table, 1):
+        gram, at = within(hashes, rows, k)
+        number = np.searchsorted(distinct, gram)
+        # the row's own occurrences are taken off
+        _, which, own = np.unique(number * n_rows + rows[at], return_inverse=True, return_counts=True)
+        rest = np.zeros(n, np.int64)
+        rest[at] = counts[number] - own[which]
+        log, seen = logs(rest), np.flatnonzero(rest > 0)
+        end = seen + k - 1
+        if k == 1:
+            score = log + (longest - 1) * ALPHA
+        else:
+            score[end] = log[seen] - lower[seen] + (longest[end] - k) * ALPHA
+            bare[end] = False
+        lower = log
+    sums, times = np.zeros(n_rows, np.int64), np.bincount(rows[bare], minlength=n_rows)
+    np.add.at(sums, rows, score)
+    return sums, times
+
+
+def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score (long, sum of natural logarithms in units of 1e-6) and
-    mean_log (per word; null without words) for every row, scored against all rows that
-    aren't ``held`` out (default: none is). Words are runs of other than ASCII white space,
-    A-Z lower-cased; null text has none."""
+    mean_log (long: log_score by word, rounded down; null without words) for every row,
+    scored against all other rows. Words are runs of other than ASCII white space, A-Z
+    lower-cased; null text has none. Repeated rows are other rows to each other; an empty
+    table gives no rows. ``docs`` is read twice; unless it is a plain scan, it is written
+    first, and a second reading that differs is an error."""
     mark = written()
-    out_ = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), out_.alias("held"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = materialise(rows, "texts")
     total_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total_bytes // BUCKET))
 
     def heads(batches):
-        """For each stretch its documents' ids and words. Stretches are numbered by the
-        partition and order in which the texts are read, which is the same in both passes."""
-        from pyspark import TaskContext
-
-        stretch = TaskContext.get().partitionId() << 24
-        for batch in slices(batches, most=STRETCH):
-            n_words = np.bincount(words_of(batch)[1], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([n_words.tolist()], pa.list_(pa.int64())), pa.array([batch.column(2).to_pylist()], pa.list_(pa.bool_()))], names=["stretch", "ids", "n_words", "held"])
-            stretch += 1
+        """The ids and texts of each stretch."""
+        for name, batch in stretches(batches):
+            texts = batch.column(1).to_pylist()
+            raw = [t.encode() for t in texts]
+            blob = pa.compress(b"".join(raw), codec=CODEC, asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([list(map(len, raw))], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["stretch", "ids", "sizes", "texts"])
 
     def explode(batches):
-        from pyspark import TaskContext
-
-        stretch = TaskContext.get().partitionId() << 24
-        for batch in slices(batches, most=STRETCH):
+        for name, batch in stretches(batches):
             hashes, at = words_of(batch)
-            apart = np.asarray(batch.column(2).to_pylist(), bool)[at]
-            spots = np.flatnonzero(apart)
-            for k, (gram, row, sign) in enumerate(terms(hashes[~apart], at[~apart], order), 1):
-                out = []
-                by = np.argsort(gram, kind="stable")
-                gram, row, sign = gram[by], row[by], sign[by]
-                head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]) if len(gram) else by
-                counts, signs = np.diff(np.r_[head, len(gram)]), np.add.reduceat(sign, head) if len(head) else head
-                first = spots[: max(0, len(spots) - k + 1)]
-                first = first[at[first] == at[np.minimum(first + k - 1, len(at) - 1)]] if k > 1 else first
-                first = first[first + k <= len(at)]
-                other = grams(hashes, k)[first]
-                by = np.argsort(other, kind="stable")
-                none = np.zeros(len(first), np.int64)
-                for place, parts in ((False, (gram[head], row[head], counts, signs)), (True, (other[by], first[by], none, none))):
-                    if not len(parts[0]):
-                        continue
-                    # hashes ascend, so a bucket is a stretch of them
-                    cut, number = ranges(parts[0], buckets)
-                    for a, b, bucket in zip(cut[:-1].tolist(), cut[1:].tolist(), number.tolist(), strict=True):
-                        out.append((stretch, k, bucket, place, b - a, pack(*(p[a:b] for p in parts))))
-                columns = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names=["stretch", "k", "bucket", "held", "n", "packed"])
-            stretch += 1
-
-    # shuffled as they are made: a written copy would double the disk
-    sent = rows.mapInArrow(explode, "stretch long, k int, bucket long, held boolean, n int, packed binary")
-    kept = materialise(rows.mapInArrow(heads, "stretch long, ids array<long>, n_words array<long>, held array<boolean>"), "heads")
+            for k in range(1, order + 1):
+                gram, counts = np.unique(within(hashes, at, k)[0], return_counts=True)
+                # hashes ascend, so a bucket is a stretch of them
+                cut, number = ranges(gram, buckets)
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                packed = [pack(gram[a:b], counts[a:b]) for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(spans), pa.int64()), pa.array([k] * len(spans), pa.int32()), pa.array(number, pa.int64()), pa.array(np.diff(cut), pa.int32()), pa.array(packed, pa.binary())], names=["stretch", "k", "bucket", "n", "packed"])
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [unpack(p, n, 3) for p, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        order_ = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
-        gram = np.concatenate([p[0] for p in parts])[order_]
-        head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        every = np.concatenate([p[2] for p in parts]).astype(np.int64)[order_]
-        f = np.add.reduceat(every, head)  # the count table of this bucket
-        # what only held-out rows have was counted 0 times
-        log = np.where(f > 0, np.rint(np.log(np.maximum(f, 1)) * UNIT), -1).astype(np.int64)
-        value = np.empty(len(gram), np.int64)
-        value[order_] = np.repeat(log, np.diff(np.r_[head, len(gram)]))
-        out, at = [], 0
-        order_k = table.column("k").to_pylist()
-        for stretch, k, apart, part in zip(table.column("stretch").to_pylist(), order_k, table.column("held").to_pylist(), parts, strict=True):
-            n = len(part[0])
-            if apart:
-                out.append((stretch, k, part[1].astype(np.uint32).tobytes(), value[at : at + n].tobytes()))
-            else:
-                sums = np.zeros(int(part[1].max()) + 1, np.int64)
-                np.add.at(sums, part[1], value[at : at + n] * part[3])
-                touched = np.flatnonzero(sums)
-                out.append((stretch, 0, touched.astype(np.uint32).tobytes(), sums[touched].tobytes()))
+        sizes = table.column("n").to_pylist()
+        parts = [unpack(p, n, 1) for p, n in zip(table.column("packed").to_pylist(), sizes, strict=True)]
+        gram = np.concatenate([p[0] for p in parts])
+        _, which = np.unique(gram, return_inverse=True)
+        # the count table of this bucket, in the order of what was sent
+        f = np.zeros(int(which.max()) + 1, np.int64)
+        np.add.at(f, which, np.concatenate([p[1].view(np.uint32) for p in parts]).astype(np.int64))
+        found, at = [], 0
+        for n in sizes:
+            places = f[which[at : at + n]].view(np.uint8).reshape(-1, 8).T
+            found.append(pa.compress(np.ascontiguousarray(places).tobytes(), codec=CODEC, asbytes=True))
             at += n
-        columns = list(zip(*out, strict=True))
-        return pa.table({"stretch": pa.array(columns[0], pa.int64()), "k": pa.array(columns[1], pa.int32()), "at": pa.array(columns[2], pa.binary()), "sums": pa.array(columns[3], pa.binary())})
-
-    # k: 0 for sums by document, else the order of the logarithms by word
-    counted = sent.groupBy("k", "bucket").applyInArrow(count, "stretch long, k int, at binary, sums binary")
+        return pa.table({"stretch": table.column("stretch"), "k": table.column("k"), "bucket": table.column("bucket"), "n": table.column("n"), "counts": pa.array(found, pa.binary())})
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("ids").to_pylist()[0] if left.num_rows else []
-        size = left.column("n_words").to_pylist()[0] if left.num_rows else []
-        apart = np.asarray(left.column("held").to_pylist()[0] if left.num_rows else [], bool)
-        total, n_words = np.zeros(len(ids), np.int64), np.asarray(size, np.int64)
-        bare = np.where(order == 1, n_words, np.minimum(n_words, 1))
-        logs = [np.full(int(n_words.sum()), -1, np.int64) for _ in range(order)] if apart.any() else []
-        for k, d, s in zip(right.column("k").to_pylist(), right.column("at").to_pylist(), right.column("sums").to_pylist(), strict=True):
-            to = logs[k - 1] if k else total
-            to[np.frombuffer(d, np.uint32)] += np.frombuffer(s, np.int64) + (1 if k else 0)
-        if logs:
-            row = np.repeat(np.arange(len(ids)), n_words)
-            score, alone = backed_off(logs, np.arange(len(row)) - np.repeat(np.cumsum(n_words) - n_words, n_words))
-            sums, n_bare = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-            np.add.at(sums, row, score)
-            np.add.at(n_bare, row, alone.astype(np.int64))
-            total, bare = np.where(apart, sums, total), np.where(apart, n_bare, bare)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(size, pa.int64()), "sum": pa.array(total, pa.int64()), "bare": pa.array(bare, pa.int64()), "held": pa.array(apart, pa.bool_())})
-
-    summed = kept.groupBy("stretch").cogroup(counted.groupBy("stretch")).applyInArrow(add, "doc_id long, n_words long, sum long, bare long, held boolean")
+        known: list[dict[int, tuple[int, bytes]]] = [{} for _ in range(order)]
+        for k, bucket, n, blob in zip(*(right.column(c).to_pylist() for c in ("k", "bucket", "n", "counts")), strict=True):
+            known[k - 1][bucket] = n, blob
+        if right.num_rows and not left.num_rows:
+            raise RuntimeError("the texts were not the same when they were read again")
+        out = []
+        for ids, sizes, blob in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "texts")), strict=True):
+            raw = pa.decompress(blob, decompressed_size=sum(sizes), codec=CODEC)
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            texts = pa.Array.from_buffers(pa.string(), len(ids), [None, offsets.buffers()[1], raw])
+            hashes, at = words_of(pa.RecordBatch.from_arrays([texts], names=["text"]))
+            table = []
+            for k in range(1, order + 1):
+                distinct, parts = np.unique(within(hashes, at, k)[0]), [np.empty(0, np.int64)]
+                for bucket in sorted(known[k - 1]):
+                    n, packed = known[k - 1][bucket]
+                    places = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec=CODEC, asbytes=True), np.uint8)
+                    parts.append(np.ascontiguousarray(places.reshape(8, n).T).view(np.int64).ravel())
+                counts = np.concatenate(parts)
+                if len(counts) != len(distinct):
+                    raise RuntimeError("the texts were not the same when they were read again")
+                table.append((distinct, counts))
+            sums, bare = scored(hashes, at, len(ids), table)
+            out.append((ids, np.bincount(at, minlength=len(ids)), sums, bare))
+        columns = [np.concatenate(x) for x in list(zip(*out, strict=True))[1:]] or [np.empty(0, np.int64)] * 3
+        ids = [x for found in out for x in found[0]]
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("doc_id", "n_words", "sum", "bare"), (ids, *columns), strict=True)})
+
+    # shuffled as they are made: written copies would double the disk
+    sent = rows.mapInArrow(explode, "stretch long, k int, bucket long, n int, packed binary")
+    texts = rows.mapInArrow(heads, "stretch long, ids array<long>, sizes array<long>, texts binary")
+    counted = sent.groupBy("k", "bucket").applyInArrow(count, "stretch long, k int, bucket long, n int, counts binary")
+    summed = texts.groupBy("stretch").cogroup(counted.groupBy("stretch")).applyInArrow(add, "doc_id long, n_words long, sum long, bare long")
     return finished(only(summed, "scores", mark))
 
 
 def finished(summed: DataFrame) -> DataFrame:
-    """Takes log(all words that are counted) off each of the ``bare`` words, whose score has
-    no context, and adds the mean."""
-    words_ = summed.filter(~F.col("held")).agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    whole = round(float(np.log(words_)) * UNIT) if words_ else 0
-    score = F.when(F.col("n_words") > 0, F.col("sum") - F.lit(whole) * F.col("bare")).otherwise(0).cast("long")
-    return summed.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / UNIT / F.col("n_words")).alias("mean_log"))
+    """Takes log(other rows' words) off each of the ``bare`` words, whose score has no
+    context, and adds the mean."""
+    whole = summed.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    rest = F.rint(F.log(F.greatest(F.lit(whole) - F.col("n_words"), F.lit(1)).cast("double")) * UNIT).cast("long")
+    score = F.col("sum") - rest * F.col("bare")
+    mean = F.when(F.col("n_words") > 0, F.floor(score.cast("double") / F.col("n_words")).cast("long"))
+    return summed.select("doc_id", "n_words", score.alias("log_score"), mean.alias("mean_log"))
 
 
 def _split(text: str):

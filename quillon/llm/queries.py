@@ -49,48 +49,32 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff bigram scores of every document against all of them."""
-    return lm.score_corpus(read_table(spark, sf_dir, "documents")).drop("mean_log")
+    """Stupid-backoff trigram scores of every document against all others."""
+    return lm.score_corpus(read_table(spark, sf_dir, "documents"), 3)
 
 
 OP5 = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, len(w) AS m, unnest(range(1, len(w) + 1)) AS i, w FROM d),
-x AS (SELECT doc_id, m, i, w[i] AS word, w[i - 1] AS before FROM t),
-u AS (SELECT word, count(*) AS f FROM x GROUP BY word),
-b AS (SELECT before, word, count(*) AS f FROM x WHERE i > 1 GROUP BY before, word),
-l AS (SELECT word, CAST(round_even(ln(f) * 1000000, 0) AS BIGINT) AS log FROM u),
-lb AS (SELECT before, word, CAST(round_even(ln(f) * 1000000, 0) AS BIGINT) AS log FROM b),
-s AS (SELECT x.doc_id, sum(CASE WHEN i > 1 THEN lb.log ELSE l.log END - CASE WHEN i > 1 THEN lc.log ELSE 0 END) AS s
-      FROM x LEFT JOIN l ON x.word = l.word LEFT JOIN lb ON x.before = lb.before AND x.word = lb.word AND i > 1
-             LEFT JOIN l lc ON lc.word = x.before AND i > 1 GROUP BY x.doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
-       CAST(CASE WHEN len(w) > 0 THEN s - CAST(round_even(ln((SELECT count(*) FROM x)) * 1000000, 0) AS BIGINT) ELSE 0 END AS BIGINT) AS log_score
-FROM d LEFT JOIN s ON d.doc_id = s.doc_id
-"""
-
-
-def op5_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff trigram scores of every document; each tenth is held out and scored
-    against the rest."""
-    return lm.score_corpus(read_table(spark, sf_dir, "documents"), 3, F.col("doc_id") % 10 == 0).drop("mean_log")
-
-
-OP5_BACKOFF = r"""
-WITH d AS (SELECT doc_id, coalesce(doc_id % 10 = 0, false) AS held, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, held, unnest(range(1, len(w) + 1)) AS i, w FROM d),
-x AS (SELECT doc_id, held, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM t),
-l1 AS (SELECT c, CAST(round_even(ln(count(*)) * 1000000, 0) AS BIGINT) AS log FROM x WHERE NOT held GROUP BY c),
-l2 AS (SELECT b, c, CAST(round_even(ln(count(*)) * 1000000, 0) AS BIGINT) AS log FROM x WHERE NOT held AND i > 1 GROUP BY b, c),
-l3 AS (SELECT a, b, c, CAST(round_even(ln(count(*)) * 1000000, 0) AS BIGINT) AS log FROM x WHERE NOT held AND i > 2 GROUP BY a, b, c),
-k AS (SELECT CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) AS alpha, (SELECT CASE WHEN count(*) > 0 THEN CAST(round_even(ln(greatest(count(*), 1)) * 1000000, 0) AS BIGINT) ELSE 0 END FROM x WHERE NOT held) AS n),
-s AS (SELECT x.doc_id, sum(CASE WHEN abc.log IS NOT NULL THEN abc.log - ab.log
-                                WHEN bc.log IS NOT NULL THEN bc.log - b.log + (least(i, 3) - 2) * alpha
-                                ELSE coalesce(c.log, 0) - n + (least(i, 3) - 1) * alpha END) AS s
-      FROM x CROSS JOIN k LEFT JOIN l3 abc ON abc.a = x.a AND abc.b = x.b AND abc.c = x.c LEFT JOIN l2 ab ON ab.b = x.a AND ab.c = x.b
-             LEFT JOIN l2 bc ON bc.b = x.b AND bc.c = x.c LEFT JOIN l1 b ON b.c = x.b LEFT JOIN l1 c ON c.c = x.c GROUP BY x.doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(s, 0) AS BIGINT) AS log_score
-FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, len(w) AS m, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+x AS (SELECT r, m, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM t),
+o1 AS (SELECT r, c, count(*) AS f FROM x GROUP BY ALL), g1 AS (SELECT c, sum(f) AS f FROM o1 GROUP BY ALL),
+o2 AS (SELECT r, b, c, count(*) AS f FROM x WHERE i > 1 GROUP BY ALL), g2 AS (SELECT b, c, sum(f) AS f FROM o2 GROUP BY ALL),
+o3 AS (SELECT r, a, b, c, count(*) AS f FROM x WHERE i > 2 GROUP BY ALL), g3 AS (SELECT a, b, c, sum(f) AS f FROM o3 GROUP BY ALL),
+e1 AS (SELECT r, c, CAST(round_even(ln(greatest(g1.f - o1.f, 1)) * 1000000, 0) AS BIGINT) AS log FROM o1 JOIN g1 USING (c)),
+e2 AS (SELECT r, b, c, g2.f - o2.f AS f, CAST(round_even(ln(greatest(g2.f - o2.f, 1)) * 1000000, 0) AS BIGINT) AS log FROM o2 JOIN g2 USING (b, c)),
+e3 AS (SELECT r, a, b, c, g3.f - o3.f AS f, CAST(round_even(ln(greatest(g3.f - o3.f, 1)) * 1000000, 0) AS BIGINT) AS log FROM o3 JOIN g3 USING (a, b, c)),
+k AS (SELECT CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) AS alpha, (SELECT count(*) FROM x) AS n),
+s AS (SELECT x.r, sum(CASE WHEN abc.f > 0 THEN abc.log - ab.log
+                           WHEN bc.f > 0 THEN bc.log - eb.log + (least(i, 3) - 2) * alpha
+                           ELSE ec.log - CAST(round_even(ln(greatest(n - m, 1)) * 1000000, 0) AS BIGINT) + (least(i, 3) - 1) * alpha END) AS s
+      FROM x CROSS JOIN k JOIN e1 ec ON ec.r = x.r AND ec.c = x.c
+             LEFT JOIN e1 eb ON eb.r = x.r AND eb.c = x.b
+             LEFT JOIN e2 bc ON bc.r = x.r AND bc.b = x.b AND bc.c = x.c
+             LEFT JOIN e2 ab ON ab.r = x.r AND ab.b = x.a AND ab.c = x.b
+             LEFT JOIN e3 abc ON abc.r = x.r AND abc.a = x.a AND abc.b = x.b AND abc.c = x.c GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(s, 0) AS BIGINT) AS log_score,
+       CASE WHEN len(w) > 0 THEN CAST(floor(CAST(s AS DOUBLE) / len(w)) AS BIGINT) END AS mean_log
+FROM d LEFT JOIN s USING (r)
 """
 
 
@@ -129,7 +113,6 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pii": op4_pii,
     "op5_lm_scoring": op5_lm_scoring,
-    "op5_lm_backoff": op5_lm_backoff,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
@@ -139,5 +122,4 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_top_k": OP1,
     "op5_lm_scoring": OP5,
-    "op5_lm_backoff": OP5_BACKOFF,
 }
