@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,7 +72,27 @@ def only(df: DataFrame, name: str, since: int) -> DataFrame:
     return kept
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: Rows of an Arrow batch: Spark bounds batches by rows only, and 10,000 rows of long texts
+#: would stand in memory several times, on both sides.
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for this session. Plans are made
+    when a result is written, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``most`` bytes in each (a
     single longer row stays whole): bounds what a vectorised step holds at once."""
     for batch in batches:
@@ -83,6 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+    release()
 
 
 def text_offsets(column: pa.Array) -> np.ndarray:

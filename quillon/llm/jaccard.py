@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, mix64, only, slices, written
+from quillon.llm.common import materialise, mix64, only, short_batches, slices, written
 from quillon.llm.graph import components
 from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import shingle_sets
@@ -37,9 +37,11 @@ WEAK = 0
 HOT = 64
 #: Packed entries that a task sends at once, entries of a part, and rows of one bucket that
 #: go packed from there; others of a hot bucket go as rows, which Spark can split.
-ENTRIES, PART, PACKED = 2_000_000, 3_000_000, 16
+ENTRIES, PART, PACKED = 1_000_000, 3_000_000, 16
 #: Rows that are small enough for every task to have them all.
 FEW = 500_000
+#: Text bytes that are hashed at once.
+SLICE = 1 << 20
 
 
 class Bands:
@@ -140,7 +142,7 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             yield _sent(nid=np.full(len(spans), start), part=number, n=np.diff(cut), packed=[pack(hashes[a:b], rows[a:b]) for a, b in spans])
 
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signed = [signatures(s, bands, 0) for s in sets]
@@ -184,6 +186,7 @@ def shared_words(table: pa.Table) -> pa.Table:
 
 class Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
+        short_batches(docs.sparkSession)
         self.width, self.percent, self.bands = width, percent, Bands(percent)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("tid"), F.col("text"))
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -219,7 +222,7 @@ class Join:
         width, percent = self.width, self.percent
 
         def run(batches):
-            for batch in slices(slices(batches, "text_a", 2 << 20), "text_b", 2 << 20):
+            for batch in slices(slices(batches, "text_a", SLICE), "text_b", SLICE):
                 linked = []
                 for s, t in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width), strict=True):
                     common = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
@@ -265,7 +268,7 @@ class Join:
         width, bands = self.width, self.bands
 
         def run(batches):
-            for batch in slices(batches, most=2 << 20):
+            for batch in slices(batches, most=SLICE):
                 sets = shingle_sets(batch.column(1), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists([signatures(s, bands, seed)[0] for s in sets])], names=["nid", "words"])
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mix64, slices
+from quillon.llm.common import mix64, short_batches, slices
 
 #: Hashed features, and rows of each language that the weights are fitted on.
 FEATURES, PER_LANGUAGE = 1 << 14, 600
@@ -27,6 +28,9 @@ FEATURES, PER_LANGUAGE = 1 << 14, 600
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 4
 UNKNOWN = "und"
 SEPARATOR = 32
+#: Characters whose features are found at once (about 60 bytes for each), and bytes of text
+#: that become Python strings at once.
+CHUNK, SLICE = 1 << 18, 1 << 20
 #: ASCII letters stay, all other ASCII is a separator.
 ASCII = np.array([c if chr(c).isalpha() else SEPARATOR for c in range(128)], np.uint32)
 LETTER = re.compile("[A-Za-z]")
@@ -36,28 +40,52 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and bool(LETTER.search(text) or any(map(str.isalpha, text)))
 
 
-def counts_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Feature numbers and counts of each text."""
-    lowered = [t.lower() for t in texts]
-    lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+def gram_numbers(text: str) -> list[np.ndarray]:
+    """By order, the feature of the n-gram that starts at each character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     ascii_ = points < 128
     points[ascii_] = ASCII[points[ascii_]]
     one = points.astype(np.uint64) + np.uint64(1)
-    width = np.uint64(21)
-    two = one[:-1] | one[1:] << width if len(one) > 1 else one[:0]
+    two = one[:-1] | one[1:] << np.uint64(21) if len(one) > 1 else one[:0]
     three = two[:-1] | one[2:] << np.uint64(42) if len(one) > 2 else one[:0]
-    numbers = [(mix64(grams) & np.uint64(FEATURES - 1)).astype(np.int32) for grams in (one, two, three)]
-    out, at = [], 0
-    for n in lengths.tolist():
-        total = np.zeros(FEATURES, np.int64)
-        for k, found in enumerate(numbers):
-            if n > k:
-                total += np.bincount(found[at : at + n - k], minlength=FEATURES)
-        at += n
+    return [(mix64(grams) & np.uint64(FEATURES - 1)).astype(np.int32) for grams in (one, two, three)]
+
+
+def counts_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature numbers and counts of each text. About ``CHUNK`` characters are worked on at
+    once: short texts together, a longer text piece by piece."""
+
+    def found(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         index = np.flatnonzero(total)
-        out.append((index.astype(np.int32), total[index]))
-    return out
+        return index.astype(np.int32), total[index]
+
+    def together(group: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        numbers, at = gram_numbers("".join(group)), 0
+        for n in map(len, group):
+            total = np.zeros(FEATURES, np.int64)
+            for k, features in enumerate(numbers):
+                if n > k:
+                    total += np.bincount(features[at : at + n - k], minlength=FEATURES)
+            at += n
+            yield found(total)
+
+    group, held = [], 0
+    for text in map(str.lower, texts):
+        if group and held + len(text) > CHUNK:
+            yield from together(group)
+            group, held = [], 0
+        if len(text) <= CHUNK:
+            group.append(text)
+            held += len(text)
+            continue
+        total = np.zeros(FEATURES, np.int64)
+        for start in range(0, len(text), CHUNK):
+            # two more characters, for the n-grams that start before the piece's end
+            for features in gram_numbers(text[start : start + CHUNK + 2]):
+                total += np.bincount(features[:CHUNK], minlength=FEATURES)
+        yield found(total)
+    if group:
+        yield from together(group)
 
 
 def weighted(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -143,12 +171,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     no labelled one. To the driver go one blob of document frequencies from a few merging
     tasks, a row for each language, and about ``per_language`` rows of features for each."""
     spark = docs.sparkSession
+    short_batches(spark)
     known = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     merges = max(1, math.isqrt(known.rdd.getNumPartitions()))
 
     def frequencies(batches):
         seen, rows = np.zeros(FEATURES + 1, np.int64), {}
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             keep = [(t, x) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
             for (index, _), (_, lang) in zip(counts_of([t for t, _ in keep]), keep, strict=True):
                 seen[index] += 1
@@ -182,9 +211,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     sample = known.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("text", "lang")
 
     def features(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             keep = [(t, x) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
-            found = counts_of([t for t, _ in keep])
+            found = list(counts_of([t for t, _ in keep]))
             yield pa.RecordBatch.from_arrays([pa.array([x for _, x in keep], pa.string()), pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())], names=["lang", "index", "counts"])
 
     drawn = [(r["lang"], bytes(r["index"]), bytes(r["counts"])) for r in sample.mapInArrow(features, "lang string, index binary, counts binary").collect()]
@@ -197,12 +226,13 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang: str
     """``docs`` with the predicted language and its calibrated probability. ``und`` with
     score 0 if the text is null or has no letter, or if there is no model. Columns of these
     names are replaced."""
+    short_batches(docs.sparkSession)
     kept = docs.drop(lang, score)
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{lang}` string", f"`{score}` double"]
     at = kept.columns.index(text)
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             texts = batch.column(at).to_pylist()
             some = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import slices
+from quillon.llm.common import short_batches, slices
 
 # Fixed values of the MPEG audio standards: bit rates in kbit/s by (MPEG-1?, layer), and
 # sample rates in Hz by version.
@@ -268,6 +268,7 @@ def seek(stream: Stream, sample: int) -> int:
 def encode_column(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``df`` with a binary column of MPEG streams that hold the UTF-8 bytes of ``text``,
     padded (null: as empty). A column named as ``media`` is replaced."""
+    short_batches(df.sparkSession)
     kept = df.drop(media)
     schema = T.StructType([*kept.schema.fields, T.StructField(media, T.BinaryType())])
     column = text

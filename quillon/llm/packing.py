@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, slices
+from quillon.llm.common import materialise, short_batches, slices
 
 CAPACITY = 4096
 #: Group counts, and the least large length as a divisor of the capacity: each pair gives a
@@ -205,9 +205,9 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\
 
 class WordIds(dict):
     """The bytes (little-endian 32-bit ids) of a text by a tokenizer that splits texts into
-    words first; words come from a cache of bounded size, in two generations."""
+    words first; words come from a cache in two generations, of about 40 MB each at most."""
 
-    FULL, LONG = 500_000, 40
+    FULL, LONG = 200_000, 40
 
     def __init__(self, path: str):
         super().__init__()
@@ -250,6 +250,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of ``capacity``; the last piece
     may be shorter. Null text counts as empty and gives one piece of one id."""
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):

@@ -18,18 +18,20 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 PLACE = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
+#: Powers that a worker keeps: 8 MB for each base.
+KEPT = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0, base^1, ... modulo 2^64: at least n of them, kept for the next call."""
+    """base^0, base^1, ... modulo 2^64: n of them. Up to ``KEPT`` are kept for the next call."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        known = np.ones(size, np.uint64)
-        known[1:] = np.uint64(base)
-        known = np.multiply.accumulate(known)
-        _POWERS[base] = known
+        known = np.full(1 << max(16, int(n - 1).bit_length()) if n <= KEPT else n, base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= KEPT:
+            _POWERS[base] = known
     return known[:n]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import slices
+from quillon.llm.common import short_batches, slices
 
 SPACE = "▁"
 
@@ -110,6 +110,7 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, model_path: str, over: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every row. Null text counts as empty:
     0 bytes, 0 tokens. Repeated rows are counted each; other columns are not read."""
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
