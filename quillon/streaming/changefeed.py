@@ -1,6 +1,6 @@
 """The change feed of a versioned table.
 
-Each statement of a table appends its row events under ``changes/lsn=<n>``. A subscription
+Each statement of a table adds its row events under ``changes/lsn=<n>`` once it counts. A subscription
 is a file-source stream over that folder: its checkpoint holds the position, ``limit`` is
 files a batch, and the stream is stateless, so any lost task is read again.
 """
@@ -18,7 +18,7 @@ from quillon.sources.store import Folder, VersionedTable, replay
 
 def subscribe(table: VersionedTable, from_lsn: int = 0, limit: int | None = None, ops: tuple[str, ...] = ("PUT", "DELETE"), keys_only: bool = False) -> DataFrame:
     """The events after ``from_lsn`` as a stream: lsn, op and the row, or its key alone."""
-    shape = table.spark.read.parquet(f"{table.path}/changes").schema
+    shape = table.changes().schema
     reader = table.spark.readStream.schema(shape)
     if limit:
         reader = reader.option("maxFilesPerTrigger", limit)
