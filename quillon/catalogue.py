@@ -19,7 +19,7 @@ from quillon.operators.windows import range_window, rows_window, top_per_group
 from quillon.session import sql_over, table
 from quillon.sources import files
 from quillon.sources.catalog import columns_of, tables_of
-from quillon.sources.store import VersionedTable, replay
+from quillon.sources.store import Conflict, VersionedTable, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,6 +190,11 @@ def _prepared(spark, sf_dir):
     return spark.sql("SELECT c_custkey FROM customer WHERE c_nationkey = ? AND c_mktsegment = ?", args=[3, "MACHINERY"])
 
 
+@pair("b19_for_update", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def _for_update(spark, sf_dir):
+    return _engine(spark, sf_dir, "nation").execute("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 FOR UPDATE")
+
+
 # --- C. joins ---------------------------------------------------------------------------
 
 same("c1_inner_theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
@@ -373,13 +378,13 @@ def _json_valid(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", docs.valid(broken).alias("v"))
 
 
-@pair("h2_h3_json_extract_unquote", None)
+@pair("h2_h3_json_extract_unquote", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS quoted, json_extract_string(props, '$.k') AS plain FROM events")
 def _json_extract(spark, sf_dir):
     found = docs.extract("props", "$.k")
     return table(spark, sf_dir, "events").select("event_id", found.alias("quoted"), docs.unquote(found).alias("plain"))
 
 
-@pair("h4_json_type", None)
+@pair("h4_json_type", "SELECT event_id, json_type(props) AS t FROM events")
 def _json_type(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", docs.kind("props").alias("t"))
 
@@ -395,14 +400,14 @@ def _json_build(spark, sf_dir):
     return nation.select("n_nationkey", docs.build_object("name", F.col("n_name"), "region", F.col("n_regionkey"), "none", F.lit(None).cast("string")).alias("o"), docs.build_array(F.col("n_nationkey"), F.col("n_name")).alias("a"))
 
 
-@pair("h8_json_set", None)
+@pair("h8_json_set", """SELECT event_id, rtrim(props, '}') || ', "seen": ' || user_id || '}' AS doc FROM events""")
 def _json_set(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", docs.assign("props", "$.seen", F.col("user_id")).alias("doc"))
 
 
-@pair("h3_json_path_native", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+@pair("h3_json_path_native", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _json_path(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", docs.unquoted("props", "$.page").alias("page"))
+    return table(spark, sf_dir, "events").select("event_id", docs.unquoted("props", "$.k").alias("k"))
 
 
 same("h11_coercion", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey AS VARCHAR(20)) AS t FROM orders", "orders")
@@ -491,9 +496,107 @@ def _reference_check(spark, sf_dir):
     return orphans(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").filter("c_nationkey > 2"), "c_custkey").select("o_orderkey")
 
 
+def _engine(spark, sf_dir, *names: str):
+    from quillon.plans.engine import Engine
+
+    e = Engine(spark, scratch(spark))
+    for name in names:
+        e.register(name, table(spark, sf_dir, name))
+    return e
+
+
+def _members(spark, sf_dir, action: str):
+    """Nations and their customers, with a reference between them."""
+    e = _engine(spark, sf_dir, "nation", "customer")
+    e.execute("CREATE TABLE land (id INT PRIMARY KEY, name TEXT NOT NULL)")
+    e.execute(f"CREATE TABLE member (id INT PRIMARY KEY, land INT, FOREIGN KEY (land) REFERENCES land (id) ON DELETE {action} ON UPDATE CASCADE)")
+    e.execute("INSERT INTO land SELECT n_nationkey, n_name FROM nation")
+    e.execute("INSERT INTO member SELECT c_custkey, c_nationkey FROM customer")
+    e.execute("DELETE FROM land WHERE id < 5")
+    e.execute("UPDATE land SET id = 100 WHERE id = 7")
+    return e.execute("SELECT id, land FROM member")
+
+
+@pair("i9_reference_cascade", "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(CASE WHEN c_nationkey = 7 THEN 100 ELSE c_nationkey END AS BIGINT) AS land FROM customer WHERE c_nationkey >= 5")
+def _cascade(spark, sf_dir):
+    return _members(spark, sf_dir, "CASCADE")
+
+
+@pair("i9_reference_set_null", "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(CASE WHEN c_nationkey < 5 THEN NULL WHEN c_nationkey = 7 THEN 100 ELSE c_nationkey END AS BIGINT) AS land FROM customer")
+def _set_null(spark, sf_dir):
+    return _members(spark, sf_dir, "SET NULL")
+
+
+@pair("i9_reference_refused", "SELECT n_nationkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) AS refused FROM nation")
+def _refused(spark, sf_dir):
+    """Which nations a deletion is refused for: those that a customer refers to."""
+    e = _engine(spark, sf_dir, "nation", "customer")
+    e.execute("CREATE TABLE land (id INT PRIMARY KEY)")
+    e.execute("CREATE TABLE member (id INT PRIMARY KEY, land INT REFERENCES land (id))")
+    e.execute("INSERT INTO land SELECT n_nationkey FROM nation")
+    e.execute("INSERT INTO member SELECT c_custkey, c_nationkey FROM customer")
+    try:
+        e.execute("DELETE FROM land")
+        raise AssertionError("the deletion went through")
+    except Conflict:
+        left = e.execute("SELECT id FROM land")
+    used = e.execute("SELECT DISTINCT land FROM member")
+    return left.join(used, left["id"] == used["land"], "left").select(F.col("id").cast("int").alias("n_nationkey"), F.col("land").isNotNull().alias("refused"))
+
+
+@pair("i11_check_option", "SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS land FROM customer")
+def _check_option(spark, sf_dir):
+    """Rows that a view with a check option wouldn't show are refused; the others go in."""
+    e = _engine(spark, sf_dir, "customer")
+    e.execute("CREATE TABLE member (id INT PRIMARY KEY, land INT)")
+    e.execute("CREATE VIEW low AS SELECT id, land FROM member WHERE land < 10 WITH CHECK OPTION")
+    e.execute("CREATE VIEW rest AS SELECT id, land FROM member WHERE land >= 10 WITH CHECK OPTION")
+    try:
+        e.execute("INSERT INTO low SELECT c_custkey, c_nationkey FROM customer")
+        raise AssertionError("rows outside the view went in")
+    except Exception as found:  # noqa: BLE001 - the check fails within a task
+        if "outside" not in str(found):
+            raise
+    e.execute("INSERT INTO low SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey < 10")
+    e.execute("INSERT INTO rest SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey >= 10")
+    return e.execute("SELECT id, land FROM member")
+
+
 # --- J. definitions ---------------------------------------------------------------------
 
 
+@pair("j1_column_options", "SELECT CAST(row_number() OVER () AS BIGINT) AS id, 'none' AS note, CAST(7 AS BIGINT) AS n FROM customer")
+def _column_options(spark, sf_dir):
+    """Numbers and defaults for rows that leave their columns out."""
+    e = _engine(spark, sf_dir, "customer")
+    e.execute("CREATE TABLE t (id INT AUTO_INCREMENT PRIMARY KEY, land INT, note VARCHAR(8) NOT NULL DEFAULT 'none', n INT DEFAULT 7)")
+    e.execute("INSERT INTO t (land) SELECT c_nationkey FROM customer")
+    return e.execute("SELECT id, note, n FROM t")
+
+
+@pair("j3_unique_index", "SELECT n_name, CAST(COUNT(*) AS BIGINT) AS n FROM nation GROUP BY n_name")
+def _unique_index(spark, sf_dir):
+    """A repeated name is refused once the index is there."""
+    e = _engine(spark, sf_dir, "nation")
+    e.execute("CREATE TABLE t (id INT PRIMARY KEY, name TEXT)")
+    e.execute("INSERT INTO t SELECT n_nationkey, n_name FROM nation")
+    e.execute("CREATE UNIQUE INDEX by_name ON t (name)")
+    try:
+        e.execute("INSERT INTO t SELECT n_nationkey + 1000, n_name FROM nation")
+        raise AssertionError("repeated names went in")
+    except Conflict:
+        return e.execute("SELECT name AS n_name, COUNT(*) AS n FROM t GROUP BY name")
+
+
+@pair("j10_show_index", "SELECT * FROM (VALUES ('PRIMARY', CAST(1 AS BIGINT), 'id', CAST(0 AS BIGINT)), ('by_name', 1, 'name', 0), ('by_both', 1, 'id', 1), ('by_both', 2, 'name', 1)) t(index_name, seq_in_index, column_name, non_unique)")
+def _show_index(spark, sf_dir):
+    e = _engine(spark, sf_dir)
+    e.execute("CREATE TABLE t (id INT PRIMARY KEY, name TEXT)")
+    e.execute("CREATE UNIQUE INDEX by_name ON t (name)")
+    e.execute("CREATE INDEX by_both ON t (id, name)")
+    return e.execute("SHOW INDEX FROM t").select("index_name", "seq_in_index", "column_name", "non_unique")
+
+
 @pair("j2_alter_table", "SELECT c_custkey, c_name AS title, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(0 AS BIGINT) AS points FROM customer")
 def _alter(spark, sf_dir):
     t = _customers(spark, sf_dir)
@@ -599,6 +702,55 @@ def _procedure(spark, sf_dir):
     return e.execute("CALL by_status(@below)")
 
 
+@pair("k1_procedure_text", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_custkey < 300 GROUP BY 1")
+def _procedure_text(spark, sf_dir):
+    e = _engine(spark, sf_dir, "orders")
+    e.execute("CREATE PROCEDURE by_status(IN below INT, OUT doubled INT) BEGIN SET doubled = below * 2; SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_custkey < below GROUP BY o_orderstatus; END")
+    e.execute("CALL by_status(150, @next)")
+    return e.execute("CALL by_status(@next, @next)")
+
+
+@pair("k4_cursor", "SELECT CAST(SUM(n_nationkey) AS BIGINT) AS total, CAST(COUNT(*) AS BIGINT) AS n FROM nation")
+def _cursor(spark, sf_dir):
+    """A sum by a cursor and a handler for its end."""
+    e = _engine(spark, sf_dir, "nation")
+    e.execute("""CREATE PROCEDURE add_up(OUT total INT, OUT n INT)
+    BEGIN
+      DECLARE key_of, done INT DEFAULT 0;
+      DECLARE c CURSOR FOR SELECT n_nationkey FROM nation ORDER BY n_nationkey;
+      DECLARE CONTINUE HANDLER FOR NOT FOUND SET done = 1;
+      SET total = 0, n = 0;
+      OPEN c;
+      rows: LOOP
+        FETCH c INTO key_of;
+        IF done = 1 THEN LEAVE rows; END IF;
+        SET total = total + key_of, n = n + 1;
+      END LOOP rows;
+      CLOSE c;
+    END""")
+    e.execute("CALL add_up(@total, @n)")
+    return e.execute("SELECT CAST(@total AS BIGINT) AS total, CAST(@n AS BIGINT) AS n")
+
+
+@pair("k5_handlers", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL VALUES (-1, '23000'), (-2, 'mine 45000')")
+def _handlers(spark, sf_dir):
+    """A repeated key is caught, as is a condition that is signalled."""
+    e = _engine(spark, sf_dir, "nation")
+    e.execute("CREATE TABLE t (id INT PRIMARY KEY, name TEXT)")
+    e.execute("""CREATE PROCEDURE fill()
+    BEGIN
+      DECLARE state, what TEXT DEFAULT '';
+      DECLARE CONTINUE HANDLER FOR SQLEXCEPTION GET DIAGNOSTICS CONDITION 1 state = RETURNED_SQLSTATE, what = MESSAGE_TEXT;
+      INSERT INTO t SELECT n_nationkey, n_name FROM nation;
+      INSERT INTO t SELECT n_nationkey, n_name FROM nation;
+      INSERT INTO t VALUES (-1, state);
+      SIGNAL SQLSTATE '45000' SET MESSAGE_TEXT = 'mine';
+      INSERT INTO t VALUES (-2, CONCAT(what, ' ', state));
+    END""")
+    e.execute("CALL fill()")
+    return e.execute("SELECT id, name FROM t")
+
+
 @pair("k6_dynamic_statement", "SELECT COUNT(*) AS n FROM part WHERE p_size < 9")
 def _dynamic(spark, sf_dir):
     table(spark, sf_dir, "part").createOrReplaceTempView("part")
@@ -617,6 +769,30 @@ def _triggers(spark, sf_dir):
     return e.execute("SELECT n_nationkey, n_name FROM t")
 
 
+@pair("k8_trigger_text", "SELECT CAST(c_custkey AS BIGINT) AS id, upper(c_name) AS name, CAST(c_nationkey AS BIGINT) AS was, CAST(c_nationkey + 1 AS BIGINT) AS now FROM customer WHERE c_nationkey < 3")
+def _trigger_text(spark, sf_dir):
+    """A trigger changes the rows that come, another notes each change."""
+    e = _engine(spark, sf_dir, "customer")
+    e.execute("CREATE TABLE member (id INT PRIMARY KEY, name TEXT, land INT)")
+    e.execute("CREATE TABLE moved (id INT PRIMARY KEY, name TEXT, was INT, now INT)")
+    e.execute("CREATE TRIGGER loud BEFORE INSERT ON member FOR EACH ROW SET NEW.name = UPPER(NEW.name)")
+    e.execute("CREATE TRIGGER note AFTER UPDATE ON member FOR EACH ROW INSERT INTO moved VALUES (NEW.id, NEW.name, OLD.land, NEW.land)")
+    e.execute("INSERT INTO member SELECT c_custkey, c_name, c_nationkey FROM customer")
+    e.execute("UPDATE member SET land = land + 1 WHERE land < 3")
+    return e.execute("SELECT id, name, was, now FROM moved")
+
+
+@pair("k8_before_update", "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey > 9 THEN 'TRIG' ELSE n_name END AS name FROM nation")
+def _before_update(spark, sf_dir):
+    """What a BEFORE trigger sets is what is stored."""
+    e = _engine(spark, sf_dir, "nation")
+    e.execute("CREATE TABLE t (id INT PRIMARY KEY, name TEXT)")
+    e.execute("INSERT INTO t SELECT n_nationkey, n_name FROM nation")
+    e.execute("CREATE TRIGGER own BEFORE UPDATE ON t FOR EACH ROW SET NEW.name = 'TRIG'")
+    e.execute("UPDATE t SET name = 'statement' WHERE id > 9")
+    return e.execute("SELECT id, name FROM t")
+
+
 # --- L. change streams ------------------------------------------------------------------
 
 
@@ -663,3 +839,27 @@ def _latest(spark, sf_dir):
 def _latest_batch(spark, sf_dir):
     t = _changed(spark, sf_dir)
     return replay(t.read().limit(0), t.changes(), ["c_custkey"])
+
+
+# --- M. beside one statement ------------------------------------------------------------
+
+
+@pair("m7_read_only_batch", "SELECT 'customer' AS name, COUNT(*) AS n FROM customer UNION ALL SELECT 'nation', COUNT(*) FROM nation UNION ALL SELECT 'orders', COUNT(*) FROM orders")
+def _batch(spark, sf_dir):
+    """Queries at the same time, their results in order."""
+    e = _engine(spark, sf_dir, "customer", "nation", "orders")
+    names = ["customer", "nation", "orders"]
+    found = e.batch([f"SELECT COUNT(*) AS n FROM {name}" for name in names])
+    return spark.createDataFrame([(name, rows[0]["n"]) for name, rows in zip(names, found, strict=True)], "name string, n long")
+
+
+@pair("m8_query_cache", "SELECT CAST(c_nationkey AS BIGINT) AS land, COUNT(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY 1")
+def _query_cache(spark, sf_dir):
+    """A cached result goes once a statement changes its table."""
+    e = _engine(spark, sf_dir, "customer")
+    e.execute("CREATE TABLE member (id INT PRIMARY KEY, land INT)")
+    e.execute("INSERT INTO member SELECT c_custkey, c_nationkey FROM customer")
+    e.execute("SET query_cache = on")
+    e.execute("SELECT land, COUNT(*) AS n FROM member GROUP BY land").count()
+    e.execute("DELETE FROM member WHERE land = 3")
+    return e.execute("SELECT land, COUNT(*) AS n FROM member GROUP BY land")

@@ -1,9 +1,10 @@
 """JSON document functions over text columns.
 
 Objects keep their members' order and numbers keep their digits. Paths are ``$`` followed
-by ``.key``, ``."quoted key"`` and ``[n]``. Results print with ``", "`` and ``": "``.
-``valid``, ``length`` and ``unquoted`` have forms within the JVM for plain paths; where text
-must survive exactly, Arrow batches go to Python.
+by ``.key`` (any characters up to ``.`` or ``[``), ``."quoted key"`` and ``[n]``, with white
+space around them. Results print with ``", "`` and ``": "``. Building objects and arrays and
+``unquoted`` stay in the JVM. The others go to Python in Arrow batches: Spark's own functions
+lose the order of members or the digits of numbers, or take text for JSON that isn't.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEP = re.compile(r'\.(?:"((?:[^"\\]|\\.)*)"|([A-Za-z_$][\w$]*))|\[(\d+)\]')
+STEP = re.compile(r'\.(?:"((?:[^"\\]|\\.)*)"|([^.\[\]"]+))|\[\s*(\d+)\s*\]')
 
 
 class Number(str):
@@ -49,6 +50,7 @@ def render(node) -> str:
 
 
 def parse_path(path: str) -> list[str | int]:
+    path = path.strip()
     if not path.startswith("$"):
         raise BadDocument(f"a path starts with $: {path}")
     steps, at = [], 1
@@ -207,21 +209,21 @@ def length(document, path: str = "$") -> Column:
 
 def build_object(*pairs) -> Column:
     """JSON text of key, value, key, value ... in order."""
-    flag = F.lit(True)
+    pairs = [x if isinstance(x, Column) else F.lit(x) for x in pairs]
+    members = [F.concat(printed(k.cast("string")), F.lit(": "), printed(v)) for k, v in zip(pairs[::2], pairs[1::2], strict=True)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
-    def make(_, *values) -> str:
-        return render({str(k): to_node(v) for k, v in zip(values[::2], values[1::2], strict=True)})
 
-    return _each(make, "string", flag, *(x if isinstance(x, Column) else F.lit(x) for x in pairs))
+def printed(value: Column) -> Column:
+    """The JSON text of a plain value; null prints as such."""
+    one = F.to_json(F.array(value))
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.substring(one, F.lit(2), F.length(one) - 2))
 
 
 def build_array(*values) -> Column:
     """JSON text of an array of the values."""
 
-    def make(_, *found) -> str:
-        return render([to_node(v) for v in found])
-
-    return _each(make, "string", F.lit(True), *(x if isinstance(x, Column) else F.lit(x) for x in values))
+    return F.concat(F.lit("["), F.concat_ws(", ", *(printed(x if isinstance(x, Column) else F.lit(x)) for x in values)), F.lit("]"))
 
 
 def assign(document, path: str, value) -> Column:

@@ -14,6 +14,7 @@ import datetime
 import decimal
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ NAME = r"`?([A-Za-z_]\w*)`?"
 COLUMN_TYPES = {"INT": "bigint", "INTEGER": "bigint", "BIGINT": "bigint", "TEXT": "string", "STRING": "string", "VARCHAR": "string", "CHAR": "string", "DATE": "date", "TIMESTAMP": "date", "BLOB": "binary"}
 LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'")
 VERSION = "quillon 1"
+#: Queries of a batch that run at the same time.
+PARALLEL = 8
 
 
 class Unsupported(ValueError):
@@ -109,6 +112,7 @@ class Engine:
         self.routines: dict[str, tuple[list[tuple[str, str, str]], Node]] = {}
         self.triggers: dict[tuple[str, str, str], list[tuple[str, Callable]]] = {}
         self.depth, self.database = 0, "default"
+        self.caching, self.cache, self.cached_at = False, {}, {}
         self.folder = Folder(spark, self.root)
         for name in self.folder.names("tables"):
             self.tables[name] = VersionedTable(spark, self._path(name))
@@ -174,8 +178,39 @@ class Engine:
 
         return outside(text, lambda x: re.sub(r"@(\w+)", value, x))
 
+    def batch(self, texts: list[str]) -> list[list]:
+        """The rows of several queries, run at the same time, in the queries' order. For
+        results that the driver can hold."""
+        if bad := [t for t in texts if not re.match(r"\s*(SELECT|WITH|VALUES|EXPLAIN|SHOW)\b", t, re.I)]:
+            raise Unsupported(f"only queries go in a batch: {bad[0]}")
+        made = [self.execute(t) for t in texts]
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            return list(pool.map(lambda df: df.collect(), made))
+
     def query(self, text: str) -> DataFrame:
-        """A SELECT. LIMIT 0 means no limit; FOR UPDATE is ignored."""
+        """A SELECT. LIMIT 0 means no limit; FOR UPDATE is ignored. With ``query_cache`` on,
+        Spark keeps results until a version of any table is new."""
+        if not self.caching:
+            return self._query(text)
+        now = {n: t.version() for n, t in [*self.tables.items(), *self.matviews.items()]}
+        if now != self.cached_at:
+            self._forget()
+            self.cached_at = now
+        name = " ".join(outside(self._bound(text), lambda x: re.sub(r"\s+", " ", x)).split(" ")).strip()
+        if name not in self.cache:
+            self.cache[name] = self._query(text).persist()
+        return self.cache[name]
+
+    def _forget(self) -> None:
+        for df in self.cache.values():
+            df.unpersist()
+        self.cache.clear()
+
+    def _caching(self, m: re.Match) -> None:
+        self.caching = m[1].lower() in ("on", "1", "true")
+        self._forget()
+
+    def _query(self, text: str) -> DataFrame:
         text = re.sub(r"\s+FOR\s+UPDATE\s*$", "", self._bound(text), flags=re.I)
         text = outside(text, lambda x: re.sub(r"\bVERSION\(\)", f"'{VERSION}'", re.sub(r"\s+LIMIT\s+0\b(?!\s*\.)", "", x, flags=re.I), flags=re.I))
         for name in sorted({m[1].lower() for m in re.finditer(r"information_schema\.(\w+)", LITERAL.sub("", text), re.I)}):
@@ -850,6 +885,7 @@ STATEMENTS: list[tuple[str, Callable]] = [
     (rf"CREATE\s+DATABASE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}$", lambda self, m: self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {m[1]}") and None),
     (rf"DROP\s+DATABASE\s+(?:IF\s+EXISTS\s+)?{NAME}$", lambda self, m: self.spark.sql(f"DROP SCHEMA IF EXISTS {m[1]} CASCADE") and None),
     (rf"CALL\s+{NAME}\s*\((.*)\)$", Engine._call),
+    (r"SET\s+query_cache\s*=\s*'?(\w+)'?$", Engine._caching),
     (r"SET\s+@(\w+)\s*:?=\s*(.*)$", Engine._set),
     (rf"PREPARE\s+{NAME}\s+FROM\s+'(.*)'$", Engine._prepare),
     (rf"EXECUTE\s+{NAME}(?:\s+USING\s+(.*))?$", Engine._run),
