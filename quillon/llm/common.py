@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -23,12 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names; one of our own only where none is set and
+    all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -43,7 +47,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-_written: list[str] = []
+_by_thread = threading.local()
+
+
+def _written() -> list[str]:
+    """What this thread has written: operators that run in other threads keep their own."""
+    if not hasattr(_by_thread, "paths"):
+        _by_thread.paths = []
+    return _by_thread.paths
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -52,23 +63,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     when the operator says so (``only``), or when the driver exits."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    # Spark deletes the shuffle files of earlier steps once the driver has collected them
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
-    _written.append(path)
+    _written().append(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
     """A mark for ``only``."""
-    return len(_written)
+    return len(_written())
 
 
 def only(df: DataFrame, name: str, since: int) -> DataFrame:
     """Materialises a result and deletes all that was written for it since a mark."""
     kept = materialise(df, name)
-    for path in _written[since:-1]:
+    for path in _written()[since:-1]:
         _delete(df.sparkSession, path)
-    del _written[since:-1]
+    del _written()[since:-1]
     return kept
 
 
@@ -85,6 +98,20 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_of(operator: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. Workers serve one operator
+    after another, so what others have kept there goes."""
+    if _caches.keys() - {operator}:
+        kept = _caches.pop(operator, {})
+        _caches.clear()
+        _caches[operator] = kept
+        release()
+    return _caches.setdefault(operator, {})
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on for other tasks."""
     pa.default_memory_pool().release_unused()

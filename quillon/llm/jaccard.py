@@ -37,7 +37,7 @@ WEAK = 0
 HOT = 64
 #: Packed entries that a task sends at once, entries of a part, and rows of one bucket that
 #: go packed from there; others of a hot bucket go as rows, which Spark can split.
-ENTRIES, PART, PACKED = 1_000_000, 3_000_000, 16
+ENTRIES, PART, PACKED = 1_000_000, 1_000_000, 16
 #: Rows that are small enough for every task to have them all.
 FEW = 500_000
 #: Text bytes that are hashed at once.
@@ -136,11 +136,14 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
             head = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
             nth = np.arange(len(hashes)) - np.repeat(head, np.diff(np.r_[head, len(hashes)]))
             out = nth >= PACKED
-            yield _sent(nid=rows[out] + start, bucket=hashes[out].view(np.int64))
+            if out.any():
+                yield _sent(nid=rows[out] + start, bucket=hashes[out].view(np.int64))
             hashes, rows = hashes[~out], rows[~out]
             cut, number = ranges(hashes, parts)
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            yield _sent(nid=np.full(len(spans), start), part=number, n=np.diff(cut), packed=[pack(hashes[a:b], rows[a:b]) for a, b in spans])
+            for i in range(0, len(spans), 16):  # in small batches, as Spark holds whole ones outside its heap
+                some = spans[i : i + 16]
+                yield _sent(nid=np.full(len(some), start), part=number[i : i + 16], n=np.diff(cut)[i : i + 16], packed=[pack(hashes[a:b], rows[a:b]) for a, b in some])
 
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
@@ -181,7 +184,8 @@ def shared_words(table: pa.Table) -> pa.Table:
     like = np.zeros(len(hashes), bool)
     like[1:] = hashes[1:] == hashes[:-1]
     like[:-1] |= like[1:]
-    return pa.table({"bucket": pa.array(hashes[like].view(np.int64)), "nid": pa.array(nids[like])})
+    found = pa.table({"bucket": pa.array(hashes[like].view(np.int64)), "nid": pa.array(nids[like])})
+    return pa.concat_tables([found.slice(i, 1 << 15) for i in range(0, max(1, found.num_rows), 1 << 15)])
 
 
 class Join:
@@ -214,6 +218,7 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets are linked, counted on their texts."""
+        mark = written()
         pairs = materialise(pairs.distinct(), "pairs")
         nids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
         texts = materialise(self.texts_of(nids).select("nid", "text"), "texts")
@@ -229,12 +234,13 @@ class Join:
                     linked.append(100 * common >= percent * (len(s) + len(t) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return materialise(both.mapInArrow(run, "a long, b long"), "links")
+        return only(both.mapInArrow(run, "a long, b long"), "links", mark)
 
     # --- buckets
 
     def members(self) -> DataFrame:
         """bucket, nid and n (rows of the bucket), of buckets with more than one node."""
+        mark = written()
         packed = self.sent.filter("packed is not null").select("part", "nid", "n", "packed")
         found = packed.groupBy("part").applyInArrow(shared_words, "bucket long, nid long")
         found = found.unionByName(self.sent.filter("bucket is not null").select("bucket", "nid"))
@@ -252,7 +258,7 @@ class Join:
         light = hot.join(self.rows.select("nid", "room"), "nid").filter((F.col("hot") > 0) & (F.col("hot") <= F.col("room"))).select("nid", F.lit(True).alias("light"))
         kept = materialise(members.join(light, "nid", "left").filter((F.col("n") <= HOT) | F.col("light").isNull()).select("bucket", "nid"), "kept")
         still = materialise(kept.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "still")
-        return materialise(kept.join(still, "bucket"), "members")
+        return only(kept.join(still, "bucket"), "members", mark)
 
     def texts_of(self, nids: DataFrame) -> DataFrame:
         """nid, tid and text of nodes. Few of them go to every task that reads texts; of

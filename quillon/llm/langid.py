@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mix64, short_batches, slices
+from quillon.llm.common import cache_of, mix64, short_batches, slices
 
 #: Hashed features, and rows of each language that the weights are fitted on.
 FEATURES, PER_LANGUAGE = 1 << 14, 600
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     merges = max(1, math.isqrt(known.rdd.getNumPartitions()))
 
     def frequencies(batches):
+        cache_of("langid")
         seen, rows = np.zeros(FEATURES + 1, np.int64), {}
         for batch in slices(batches, most=SLICE):
             keep = [(t, x) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
@@ -232,6 +233,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang: str
     at = kept.columns.index(text)
 
     def run(batches):
+        cache_of("langid")
         for batch in slices(batches, text, SLICE):
             texts = batch.column(at).to_pylist()
             some = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]

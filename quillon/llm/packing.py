@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, short_batches, slices
+from quillon.llm.common import cache_of, materialise, short_batches, slices
 
 CAPACITY = 4096
 #: Group counts, and the least large length as a divisor of the capacity: each pair gives a
@@ -235,13 +235,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    """One for each tokenizer and Python worker."""
+    kept = cache_of("packing")
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from quillon.llm.common import ASCII_SPACE, mix64, text_bytes
+from quillon.llm.common import ASCII_SPACE, cache_of, mix64, text_bytes
 
 #: A-Z to a-z, other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,18 +20,18 @@ PLACE = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 #: Powers that a worker keeps: 8 MB for each base.
 KEPT = 1 << 20
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0, base^1, ... modulo 2^64: n of them. Up to ``KEPT`` are kept for the next call."""
-    known = _POWERS.get(base)
+    kept = cache_of("hashes")
+    known = kept.get(base)
     if known is None or len(known) < n:
         known = np.full(1 << max(16, int(n - 1).bit_length()) if n <= KEPT else n, base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
         if n <= KEPT:
-            _POWERS[base] = known
+            kept[base] = known
     return known[:n]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import short_batches, slices
+from quillon.llm.common import cache_of, short_batches, slices
 
 SPACE = "▁"
 
@@ -97,14 +97,12 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.pieces.units.findall(" " + text.replace(SPACE, " "))))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """One for each model and Python worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(Pieces.load(path))
-    return _COUNTERS[path]
+    kept = cache_of("tokens")
+    if path not in kept:
+        kept[path] = Counter(Pieces.load(path))
+    return kept[path]
 
 
 def count_tokens(docs: DataFrame, model_path: str, over: int = 4096) -> DataFrame:
