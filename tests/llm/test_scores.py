@@ -213,10 +213,7 @@ def brute_top(ids, vectors, queries, k):
 
 
 @pytest.mark.parametrize("kind", ["random", "clustered", "equal", "few"])
-def test_search_equals_brute_force(spark, monkeypatch, kind):
-    monkeypatch.setattr(topk, "DATA_BLOCK", 90)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
-    monkeypatch.setattr(topk, "LEAF", 4)
+def test_search_equals_brute_force(spark, kind):
     rng = np.random.default_rng(3)
     n = 3 if kind == "few" else 300
     x = rng.normal(size=(n, 6)) if kind != "equal" else np.tile(rng.normal(size=(1, 6)), (n, 1))
@@ -224,7 +221,7 @@ def test_search_equals_brute_force(spark, monkeypatch, kind):
         x = rng.normal(size=(5, 6))[rng.integers(0, 5, n)] * 4 + x * 0.05
     x = x.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = topk.top_k(df, F.col("vec_id") % 7 == 0).collect()
+    got = topk.top_k(df, F.col("vec_id") % 7 == 0, data_block=60, query_block=15, leaf=4).collect()
     ints = [[math.floor(256 * float(c)) for c in v] for v in x]
     assert sorted(map(tuple, got)) == brute_top(list(range(n)), ints, range(0, n, 7), 5)
 
@@ -247,6 +244,19 @@ def test_cover_tree_covers():
     check(tree)
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.02, 0.4), (10.0, 1.0)])
+def test_share_of_pairs_scored(spread, most):
+    """Clustered vectors are pruned; those that lie everywhere aren't, and none is missed."""
+    rng = np.random.default_rng(2)
+    x = np.floor(256 * (rng.normal(size=(8, 64))[rng.integers(0, 8, 3000)] + spread * rng.normal(size=(3000, 64))))
+    ids, seen = np.arange(3000), []
+    got = topk.search(x[::50], ids[::50], x, ids, 5, seen=seen)
+    scores = x[::50] @ x.T
+    scores[np.arange(60), ids[::50]] = -np.inf
+    want = np.sort(scores, axis=1)[:, -5:].sum()
+    assert sum(s for _, _, s in got) == want and sum(seen) <= most * 60 * 3000
+
+
 def test_unusable_and_huge_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, [2.0, 2.0]), (None, [1.0, 1.0]), (7, [1e9, 1e9]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
