@@ -1,8 +1,7 @@
 """Removal of byte strings that start more than once, by column-wise construction.
 
 Documents are far too many for one suffix array, so the work is dealt first. Of every
-window of ``WINDOW`` symbols the least of its grams of half that length (by a hash, ties to
-the right) is an anchor: equal windows have equal anchors at equal places, so any two equal
+window of ``WINDOW`` symbols the least of its grams (by a hash, ties to the right) is an anchor: equal windows have equal anchors at equal places, so any two equal
 windows meet under one anchor hash, and an anchor needs only the symbols around it that a
 window may reach, its context. Equal contexts are counted by hash; different contexts of one
 anchor are collected documents of a small multi-document index. It is built column by
@@ -57,10 +56,15 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors_of(values: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_of(kind: int, window: int) -> int:
+    """Symbols of an anchor. Shorter ones make fewer anchors, and more that meet by chance."""
+    return window // 2 if kind == BYTES else max(1, window // 3)
+
+
+def anchors_of(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (in ``values``, a hash for each symbol of all rows), hashes and context hashes
     of the anchors of all rows."""
-    n, gram = len(values), window // 2
+    n = len(values)
     none = np.empty(0, np.int64)
     if n < window:
         return none, none.astype(np.uint64), none.astype(np.uint64)
@@ -113,7 +117,7 @@ def anchor_rows(texts: DataFrame, sizes: list[int]) -> DataFrame:
                 n_words = np.diff(found[-1][2])
             at = []
             for kind, values, offsets in found:
-                places, hashes, contexts = anchors_of(values, offsets, sizes[kind])
+                places, hashes, contexts = anchors_of(values, offsets, sizes[kind], gram_of(kind, sizes[kind]))
                 row = np.searchsorted(offsets, places, side="right") - 1
                 at.append((row, hashes ^ SALT[kind], contexts, (places - offsets[row]) * 2 + kind))
             row, hashes, contexts, places = (np.concatenate(x) for x in zip(*at, strict=True))
@@ -174,7 +178,9 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, sizes: list[int], many: int) -> DataFrame:
-    """tid, kind, lo, hi: symbols of a text that repeated windows cover (runs may overlap)."""
+    """tid, spans (coded kind, lo and hi: the symbols of a text that repeated windows cover;
+    spans may overlap) and n_words, for each text with any."""
+    reaches = [size - gram_of(kind, size) for kind, size in enumerate(sizes)]
     least = min(size if kind == BYTES else 2 * size - 1 for kind, size in enumerate(sizes) if size)
     texts = docs.select(F.unhex(F.md5("text")).alias("tid"), "text").filter(F.octet_length("text") >= least)
     rows = materialise(anchor_rows(texts, sizes), "anchors")
@@ -187,10 +193,10 @@ def repeated_spans(docs: DataFrame, sizes: list[int], many: int) -> DataFrame:
 
     # equal contexts: every window that holds the anchor repeats
     kind, at = F.col("place") % 2, F.floor(F.col("place") / 2)
-    reach = F.when(kind == WORDS, sizes[WORDS] - sizes[WORDS] // 2).otherwise(sizes[BYTES] - sizes[BYTES] // 2)
-    full = met.join(alike.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("nid", kind.cast("int").alias("kind"), F.greatest(F.lit(0), at - reach).cast("int").alias("lo"), (at + F.when(kind == WORDS, sizes[WORDS]).otherwise(sizes[BYTES])).cast("int").alias("hi"))
-    last = F.when(F.col("kind") == WORDS, F.least("hi", F.col("n_words").cast("int"))).otherwise(F.col("hi"))
-    full = full.join(rows.select("nid", "tid", "n_words"), "nid").select("tid", "kind", "lo", last.alias("hi")).distinct()
+    reach, size = (F.when(kind == WORDS, x[WORDS]).otherwise(x[BYTES]) for x in (reaches, sizes))
+    full = met.join(alike.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select("nid", coded(kind, F.greatest(F.lit(0), at - reach), at + size).alias("span"))
+    full = full.groupBy("nid").agg(F.collect_list("span").alias("spans")).join(rows.select("nid", "tid", "n_words"), "nid")
+    full = full.groupBy("tid").agg(F.first("spans").alias("spans"), F.first("n_words").alias("n_words"))  # of equal texts they are equal
 
     # different contexts: the symbols of each are compared
     varied = materialise(alike.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "varied")
@@ -204,15 +210,25 @@ def repeated_spans(docs: DataFrame, sizes: list[int], many: int) -> DataFrame:
     small, large = parts.filter(F.col("n") <= many).select("part"), parts.filter(F.col("n") > many).select("part")
     dealt = cut.join(small, "part").repartition(F.col("part")).sortWithinPartitions("part").select(cut.columns)
     part = dealt.mapInArrow(lambda it: _compare(it, sizes), SPAN)
-    found = full.unionByName(part)
     if large.isEmpty():
-        return found
+        return _together(full, part)
     # each window of a large part by its hash
     single = cut.join(large, "part").select(cut.columns).mapInArrow(lambda it: _windows(it, sizes), f"window binary, open boolean, {SPAN}")
     single = materialise(single, "windows")
     where = F.struct("tid", "lo")  # a window may come from two parts or anchors
     again = materialise(single.groupBy("window").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("window"), "again")
-    return found.unionByName(single.filter("open").join(again, "window").select("tid", "kind", "lo", "hi"))
+    return _together(full, part.unionByName(single.filter("open").join(again, "window").select("tid", "kind", "lo", "hi")))
+
+
+def coded(kind, lo, hi):
+    """A span as one long."""
+    return (kind.cast("long") * (1 << 62) + lo.cast("long") * (1 << 31) + hi.cast("long")).cast("long")
+
+
+def _together(full: DataFrame, part: DataFrame) -> DataFrame:
+    """The spans of each text: from equal contexts, and those that were found one by one."""
+    single = part.groupBy("tid").agg(F.collect_set(coded(F.col("kind"), F.col("lo"), F.col("hi"))).alias("spans")).withColumn("n_words", F.lit(None).cast("long"))
+    return full.unionByName(single).groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("n_words").alias("n_words"))
 
 
 PIECE = "part long, kind int, lo int, tid binary"
@@ -231,7 +247,7 @@ def _contexts(batches, sizes: list[int], many: int):
             for x in wanted:
                 p, kind = x["place"] // 2, x["place"] % 2
                 raw, window = symbols[kind], sizes[kind]
-                reach = window - window // 2
+                reach = window - gram_of(kind, window)
                 if x["contexts"] <= many:
                     out.append((x["anchor"], kind, -reach, tid, p, x["open"], _piece(raw, p - reach, p + window)))
                     continue
@@ -269,7 +285,7 @@ def _compare(batches, sizes: list[int], most: int = TOGETHER):
             end = len(known)
         else:
             end = 256
-        columns, at = np.full((len(rows), 2 * window - window // 2), end, np.int16 if end < 1 << 15 else np.int32), 0
+        columns, at = np.full((len(rows), 2 * window - gram_of(kind, window)), end, np.int16 if end < 1 << 15 else np.int32), 0
         for i, (front, x) in enumerate(read):
             columns[i, front : front + len(x)] = flat[at : at + len(x)]
             at += len(x)
@@ -316,26 +332,32 @@ def dedup(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE, many: i
     sizes = [window, passage]
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     mark = written()
-    spans = only(repeated_spans(texts, sizes, many).distinct(), "spans", mark)
-    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
-    rows = texts.withColumn("tid", F.unhex(F.md5("text"))).join(spans, "tid", "left").select("doc_id", "text", "spans")
-
-    def covered(spans, kind: int, n: int | None = None) -> tuple[np.ndarray, int]:
-        lo, hi = (np.array([x[c] for x in spans or [] if x["kind"] == kind], np.int64) for c in ("lo", "hi"))
-        n = int(hi.max(initial=0)) if n is None else n
+    spans = only(repeated_spans(texts, sizes, many), "spans", mark)
+    rows = texts.withColumn("tid", F.unhex(F.md5("text"))).join(spans, "tid", "left").select("doc_id", "text", "spans", "n_words")
+
+    def covered(spans: np.ndarray, kind: int, n: int) -> tuple[np.ndarray, int]:
+        if not n:
+            return np.zeros(0, bool), 0
+        mine = spans[spans >> 62 == kind]
+        lo, hi = mine >> 31 & (1 << 31) - 1, mine & (1 << 31) - 1
         change = np.zeros(n + 1, np.int32)
         np.add.at(change, lo, 1)
         np.add.at(change, np.minimum(hi, n), -1)
         gone = np.cumsum(change)[:-1] > 0
-        return gone, int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
+        return gone, int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
     def run(batches):
         for batch in slices(batches):
             out = []
-            for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            lists = batch.column(2)
+            cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (doc, text, n_words) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
                 raw = np.frombuffer(text.encode(), np.uint8)
+                found = flat[cuts[i] : cuts[i + 1]] if lists[i].is_valid else flat[:0]
                 gone, heads = covered(found, BYTES, len(raw))
-                in_passage, passages = covered(found, WORDS)
+                # texts with passages that were only found one by one end no span beyond their words
+                ends = found[found >> 62 == WORDS] & (1 << 31) - 1
+                in_passage, passages = covered(found, WORDS, int(ends.max(initial=0)) if n_words is None else min(n_words, int(ends.max(initial=0))))
                 kept = raw[~gone].tobytes()
                 out.append((doc, len(raw), int(gone.sum()), heads, hashlib.sha256(kept).hexdigest(), int(in_passage.sum()), passages, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
