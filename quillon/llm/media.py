@@ -3,8 +3,10 @@
 A media column holds a complete MPEG-2 Layer III stream per row. ``encode`` stores bytes
 losslessly in the ancillary part of silent frames (one byte for each of a frame's 576
 samples); ``parse`` reads any Layer I-III stream: it skips ID3v2/ID3v1/APE tags,
-resynchronises on frame headers, verifies the CRC-16 of protected frames, reads Xing,
-Info and VBRI tables, and gives exact durations and the byte offset of every frame.
+resynchronises on frame headers, verifies the CRC-16 of protected frames (Layers I and III;
+what it covers in Layer II depends on the frame's allocations), reads Xing, Info and VBRI
+tables, and gives exact durations and the byte offset of every frame. Free-format streams,
+which give no frame size, are skipped as junk.
 """
 
 from __future__ import annotations
@@ -73,12 +75,16 @@ class Header:
     channels: int
     size: int
     samples: int
+    joint: int = 0  # mode extension of joint stereo, from 1
 
     @property
     def side(self) -> int:
-        """Bytes that the checksum covers after the header: Layer III side information."""
-        if self.layer != 3:
+        """Bytes that the checksum covers after it: Layer III side information, Layer I bit
+        allocations (four bits for a subband and channel, shared from a bound on)."""
+        if self.layer == 2:
             return 0
+        if self.layer == 1:
+            return 16 if self.channels == 1 else (32 + 4 * self.joint) // 2 if self.joint else 32
         if self.version == "1":
             return 17 if self.channels == 1 else 32
         return 9 if self.channels == 1 else 17
@@ -100,7 +106,7 @@ def read_header(data: bytes, at: int) -> Header | None:
     else:
         samples = 1152 if layer == 2 or version == "1" else 576
         size = samples // 8 * kbps * 1000 // hertz + padding
-    return Header(version, layer, not b1 & 1, kbps * 1000, hertz, padding, 1 if b3 >> 6 == 3 else 2, size, samples)
+    return Header(version, layer, not b1 & 1, kbps * 1000, hertz, padding, 1 if b3 >> 6 == 3 else 2, size, samples, (b3 >> 4 & 3) + 1 if b3 >> 6 == 1 else 0)
 
 
 @dataclass
@@ -160,16 +166,30 @@ def _table(data: bytes, at: int, header: Header) -> tuple[str, int, int, list[in
 
 def _run_of_equal_frames(data: bytes, at: int, header: Header) -> int:
     """How many frames with exactly this header stand one after another from ``at``."""
-    rows = (len(data) - at) // header.size
-    heads = np.frombuffer(data, np.uint8, rows * header.size, at).reshape(rows, header.size)[:, :4]
-    same = (heads == heads[0]).all(axis=1)
-    return rows if same.all() else int(np.argmin(same))
+    rows, own, n, step = (len(data) - at) // header.size, np.frombuffer(data, np.uint8, 4, at), 0, 8
+    while n < rows:  # looks at no more than twice what it finds
+        step = min(step, rows - n)
+        heads = np.frombuffer(data, np.uint8, step * header.size, at + n * header.size).reshape(step, header.size)[:, :4]
+        same = (heads == own).all(axis=1)
+        if not same.all():
+            return n + int(np.argmin(same))
+        n, step = n + step, 2 * step
+    return n
 
 
 def parse(data: bytes) -> Stream:
     """Reads a stream from its bytes alone. Broken headers and junk are skipped up to the
     next header that another header (or the end) confirms; frames cut off at the end are
     left out. Empty input: no frames, duration 0."""
+    ahead = dict.fromkeys((b"\xff", b"TAG", b"APETAGEX", b"ID3"), -1)  # the next places of what may follow junk
+
+    def next_place(at: int) -> int:
+        for mark, place in ahead.items():
+            if place <= at:
+                found = data.find(mark, at + 1)
+                ahead[mark] = len(data) if found < 0 else found
+        return max(at + 1, min(ahead.values()))
+
     out, at, runs, steady, first, last = Stream(np.empty(0, np.int64)), 0, [], True, True, None
     seconds = Fraction(0)
     while at < len(data):
@@ -187,9 +207,7 @@ def parse(data: bytes) -> Stream:
         if not fits:
             if steady:
                 out.resyncs += 1
-            steady, nxt = False, data.find(b"\xff", at + 1)
-            ends = [x for x in (nxt, data.find(b"TAG", at + 1), data.find(b"APETAGEX", at + 1), data.find(b"ID3", at + 1)) if x > 0]
-            nxt = min(ends, default=len(data))
+            steady, nxt = False, next_place(at)
             out.skipped += nxt - at
             at = nxt
             continue
@@ -207,7 +225,7 @@ def parse(data: bytes) -> Stream:
         out.uniform = header if len(runs) == 1 else None
         out.samples += n * header.samples
         seconds += Fraction(n * header.samples, header.sample_rate)
-        if header.protected and header.layer == 3:
+        if header.protected and header.layer != 2 and header.size >= 6 + header.side:
             frames = np.frombuffer(data, np.uint8, n * header.size, at).reshape(n, header.size)
             crc = np.full(n, 0xFFFF, np.uint16)
             for k in [2, 3, *range(6, 6 + header.side)]:
@@ -289,7 +307,7 @@ def features(payload: bytes, stream: Stream) -> str:
     x = np.frombuffer(payload, np.uint8).astype(np.int16)
     step = int(np.abs(np.diff(x)).sum())
     crossings = int(((x[1:] >= 128) != (x[:-1] >= 128)).sum())
-    points = [seek(stream, stream.samples * i // 4) for i in range(4)]
+    points = [seek(stream, stream.samples * i // 4) for i in range(4)] if len(stream.offsets) else []
     d = stream.duration
     return f"mpeg{stream.version}-l{stream.layer};rate={stream.sample_rate};frames={len(stream.offsets)};seconds={d.numerator}/{d.denominator};seek={'/'.join(map(str, points))};crc={stream.crc_checked - stream.crc_bad}/{stream.crc_checked};sum={int(x.sum())};step={step};cross={crossings}"
 
@@ -299,13 +317,16 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def digest_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """Digests of a media column's streams: what was stored, read back from the frames.
-    Needs doc_id and n_bytes beside ``media``."""
+    Needs doc_id and n_bytes beside ``media``, and keeps both as they are. A null stream
+    counts as an empty one: no payload, and the digests of no bytes."""
+    short_batches(df.sparkSession)
     narrow = df.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), F.col(media).alias("media"))
 
     def run(batches):
         for batch in slices(batches, "media"):
             rows = []
             for doc, n, stored in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                stored = stored or b""
                 stream = parse(stored)
                 payload = read_payload(stored, stream)
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload, stream)))

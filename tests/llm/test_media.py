@@ -72,3 +72,40 @@ def test_column(spark):
     parsed = media.parse_column(media.encode_column(docs)).collect()
     assert all(r["duration_us"] == r["n_frames"] * 36000 and len(r["frame_offsets"]) == r["n_frames"] for r in parsed)
     assert media.digest_columns(media.encode_column(empty(spark).withColumn("n_bytes", F.lit(0)))).count() == 0
+
+
+def test_long_streams_and_junk_take_linear_time():
+    import time
+
+    small, large = b"\xff\xfb\x50\x00" + bytes(204), b"\xff\xfb\x90\x00" + bytes(413)  # 64 and 128 kbit/s
+    assert media.read_header(small, 0).size == 208
+    stream = (small + large * 2) * 8000
+    began = time.process_time()
+    found = media.parse(stream)
+    assert len(found.offsets) == 24000 and found.samples == 24000 * 1152 and not found.resyncs
+    junk = b"\xff\x00ID3 TA" * 60_000
+    assert len(media.parse(junk).offsets) == 0
+    assert time.process_time() - began < 8
+
+
+def test_checksums_of_layer_1():
+    h = media.read_header(b"\xff\xfe\x90\xc0", 0)
+    assert (h.layer, h.protected, h.channels, h.side) == (1, True, 1, 16)
+    joint = media.read_header(b"\xff\xfe\x90\x50", 0)  # joint stereo from subband 8 on
+    assert joint.side == 20 and media.read_header(b"\xff\xfe\x90\x00", 0).side == 32
+    body = bytes(range(16))
+    frame = (b"\xff\xfe\x90\xc0" + media.crc16(b"\x90\xc0" + body).to_bytes(2, "big") + body).ljust(h.size, b"\0")
+    found = media.parse(frame * 3)
+    assert (found.crc_checked, found.crc_bad, found.samples) == (3, 0, 3 * 384)
+    broken = bytearray(frame * 3)
+    broken[h.size + 9] ^= 1
+    assert media.parse(bytes(broken)).crc_bad == 1
+
+
+def test_null_and_very_long_media(spark):
+    text = "é0123456789 " * 400_000
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    found = {r["doc_id"]: r for r in media.digest_columns(media.encode_column(docs)).collect()}
+    assert found[1]["payload_sha256"] == hashlib.sha256(media.pad(text.encode())).hexdigest() and found[2]["payload_bytes"] == 576
+    none = media.digest_columns(docs.withColumn("media", F.lit(None).cast("binary"))).filter("doc_id = 2").first()
+    assert none["payload_bytes"] == 0 and none["media_bytes"] == 0
