@@ -51,6 +51,10 @@ LISTED = r"^[^A-Za-z0-9]{0,10}(?:(?:and|or|und|oder|et|ou|y|o)\b[^A-Za-z0-9]{0,1
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+#: Matches whose spans are gathered at once.
+CHUNK = 256
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -100,7 +104,9 @@ def spans_of(text: Column, kind: str) -> Column:
     # an IBAN's match is its head, the proposal is what the look-ahead saw
     # an SSN's group is what stands after it
     proposals = F.regexp_extract_all(text, pattern, 1) if kind in ADDED_KINDS else matches
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("raised"), F.expr(f"cast(array() as {SPANS})").alias("found"))
+    none = F.expr(f"cast(array() as {SPANS})")
+    state = lambda at, raised, last, found: F.struct(at.alias("at"), raised.alias("raised"), last.alias("last"), found.alias("found"))
+    zero = F.lit(0).cast("bigint")
 
     def step(acc: Column, pair: Column) -> Column:
         gap, match = pair["gaps"], pair["matches"]
@@ -114,17 +120,24 @@ def spans_of(text: Column, kind: str) -> Column:
         score = F.lit(SCORES[kind]) + F.when(raised, F.lit(RAISE)).otherwise(F.lit(0.0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
         if kind == "iban":  # none begins inside another
-            last = F.coalesce(F.try_element_at(acc["found"], F.lit(-1))["end"], F.lit(0))
-            keep = found.isNotNull() & (begin >= last)
+            keep = found.isNotNull() & (begin >= acc["last"])
         else:
             keep = _confirmed(kind, match)
         if kind not in BASE_KINDS:
             keep = keep & (score >= THRESHOLD)
-        return F.struct((begin + F.length(match)).alias("at"), raised.alias("raised"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        return state(begin + F.length(match), raised, F.when(keep, span["end"]).otherwise(acc["last"]), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]))
+
+    def together(acc: Column, chunk: Column) -> Column:
+        """A chunk's spans: appending to one long array would copy it for each span."""
+        made = F.aggregate(chunk, state(acc["at"], acc["raised"], acc["last"], none), step)
+        return state(made["at"], made["raised"], made["last"], F.concat(acc["found"], F.array(made["found"])))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches"), proposals.alias("proposals")), lambda p: p["matches"].isNotNull())
-    found = F.aggregate(pairs, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
+    chunks = F.when(F.size(pairs) > 0, chunks).otherwise(F.array(pairs))
+    empty = state(zero, F.lit(False), zero, F.expr(f"cast(array() as array<{SPANS}>)"))
+    found = F.flatten(F.aggregate(chunks, empty, together, lambda acc: acc["found"]))
+    return F.when(text.rlike(NEEDS[kind]), found).otherwise(none)
 
 
 def find(df: DataFrame, text: str = "text", to: str = "pii") -> DataFrame:
@@ -141,7 +154,8 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds by document, a digest of the base spans, and all spans."""
+    """Counts of the base kinds by document, a digest of the base spans, and all spans, for
+    every row: null text has none, and repeated rows are digested each."""
     found = find(docs.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"].isin(BASE_KINDS))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")

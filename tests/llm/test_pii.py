@@ -39,6 +39,16 @@ def test_random_texts_equal_brute_force(spark):
         assert rows[i]["spans"].startswith(",".join(f"{k}:{a}:{b}" for k, a, b in want))
 
 
+def test_texts_with_many_spans(spark):
+    """More than are gathered at once, of each kind, in one text."""
+    text = "; ".join(f"a{i}@b{i}.org 10.{i % 300}.0.{i % 256} 4111 1111 1111 1111, +1 555 01{i % 10} 99{i % 100:02}" for i in range(1100))
+    ibans = " and ".join(["GB82 WEST 1234 5698 7654 32"] * 700)
+    rows = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame([(1, text), (2, ibans)], "doc_id long, text string")).collect()}
+    want = base(text)
+    assert rows[1]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest() and len(want) > 3000
+    assert rows[2]["spans"].count("iban:") == 700
+
+
 def test_runs_of_digits_and_letters_stay_linear(spark):
     texts = ["9" * 200_000, "a" * 200_000, "1." * 100_000, "+" * 100_000 + "1", "4111 " * 40_000]
     rows = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
