@@ -79,3 +79,29 @@ def test_odd_rows(spark):
     got = jaccard.jaccard_components(odd(spark), 3, 90).collect()
     assert sorted(map(tuple, got), key=repr) == sorted((t if t[1] else (t[0], 0, t[0]) for t in brute(rows, 3, 90)), key=repr)
     assert jaccard.jaccard_components(empty(spark)).count() == 0
+
+
+def test_the_registered_query_equals_its_oracle(spark):
+    import os
+
+    import duckdb
+
+    from quillon.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = [tuple(r) for r in queries.op8_ngram_jaccard_join(spark, sf).collect()]
+    assert sorted(got) == sorted(con.execute(queries.OP8).fetchall())
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 10**7)}" for _ in range(250_000)]
+    near = list(words)
+    near[1000:1010] = ["other"] * 10
+    rows = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(words[:200_000])), (4, "short text here")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {3: 2, 2: 2, 1: 1, 4: 4}

@@ -125,6 +125,18 @@ def test_held_out_accuracy(spark):
     assert (model.weights == 0).mean() > 0.3  # sparse
 
 
+def test_very_long_texts_are_read_piece_by_piece(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé Ωx1\n") for _ in range(n)) for n in (0, 1, 2, 3, 700, langid.CHUNK - 1, langid.CHUNK, langid.CHUNK + 1, 3 * langid.CHUNK + 5)]
+    for text, (index, counts) in zip(texts, langid.counts_of(texts), strict=True):
+        whole = sum((np.bincount(f, minlength=langid.FEATURES) for f in langid.gram_numbers(text.lower()) if len(f)), np.zeros(langid.FEATURES, int))
+        assert np.array_equal(np.flatnonzero(whole), index) and np.array_equal(whole[index], counts)
+    rows = corpus(300)
+    docs = spark.createDataFrame(rows + [(10**6, " ".join(t for _, t, lang in rows if lang == "x2") * 60, "x2")], "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs)).filter("doc_id = 1000000").first()
+    assert got["lang_pred"] == "x2"
+
+
 def test_without_letters_or_labels(spark):
     docs = odd(spark)
     got = langid.identify(docs, langid.fit(docs)).collect()
