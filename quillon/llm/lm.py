@@ -34,6 +34,8 @@ from quillon.llm.shingles import PLACE, words
 
 ORDER, BACKOFF, UNIT = 3, 0.4, 1_000_000
 ALPHA = round(float(np.log(BACKOFF)) * UNIT)
+#: Of the compression of texts, which are shuffled once.
+LEVEL = 6
 #: Text bytes of a stretch, of what is hashed at once, and of all texts for each bucket.
 STRETCH, SLICE, BUCKET = 8 << 20, 1 << 20, 16 << 20
 
@@ -95,21 +97,34 @@ def logs(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.log(np.maximum(counts, 1)) * UNIT).astype(np.int64)
 
 
-def scored(hashes: np.ndarray, rows: np.ndarray, n_rows: int, table: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def repeated(values: np.ndarray, heads: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A value for each run of sorted entries, brought back to the entries' own order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(values, np.diff(np.r_[np.flatnonzero(heads), len(order)]))
+    return out
+
+
+def scored(hashes: np.ndarray, rows: np.ndarray, n_rows: int, table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """By row, the sum of its words' scores without log(other rows' words), and how often
-    that is to be taken off. ``table`` has by order the distinct n-grams, and their counts in
-    the whole corpus."""
+    that is to be taken off. ``table`` has by order the counts, in the whole corpus, of the
+    distinct n-grams in the order of their hashes."""
     n = len(hashes)
     place = np.arange(n) - np.searchsorted(rows, rows)  # in the row
     longest = np.minimum(place + 1, len(table))
     score, bare, lower = np.zeros(n, np.int64), np.ones(n, bool), None
-    for k, (distinct, counts) in enumerate(table, 1):
+    for k, counts in enumerate(table, 1):
         gram, at = within(hashes, rows, k)
-        number = np.searchsorted(distinct, gram)
+        order = np.argsort(gram, kind="stable")  # rows ascend within an n-gram
+        gram, row = gram[order], rows[at][order]
+        first = np.ones(len(gram), bool)
+        first[1:] = gram[1:] != gram[:-1]
+        if int(first.sum()) != len(counts):
+            raise RuntimeError("the texts were not the same when they were read again")
+        own = first.copy()
+        own[1:] |= row[1:] != row[:-1]
         # the row's own occurrences are taken off
-        _, which, own = np.unique(number * n_rows + rows[at], return_inverse=True, return_counts=True)
         rest = np.zeros(n, np.int64)
-        rest[at] = counts[number] - own[which]
+        rest[at] = repeated(counts, first, order) - repeated(np.diff(np.r_[np.flatnonzero(own), len(gram)]), own, order)
         log, seen = logs(rest), np.flatnonzero(rest > 0)
         end = seen + k - 1
         if k == 1:
@@ -142,7 +157,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for name, batch in stretches(batches):
             texts = batch.column(1).to_pylist()
             raw = [t.encode() for t in texts]
-            blob = pa.compress(b"".join(raw), codec=CODEC, asbytes=True)
+            blob = pa.Codec(CODEC, compression_level=LEVEL).compress(b"".join(raw), asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([list(map(len, raw))], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["stretch", "ids", "sizes", "texts"])
 
     def explode(batches):
@@ -185,15 +200,12 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
             hashes, at = words_of(pa.RecordBatch.from_arrays([texts], names=["text"]))
             table = []
             for k in range(1, order + 1):
-                distinct, parts = np.unique(within(hashes, at, k)[0]), [np.empty(0, np.int64)]
+                parts = [np.empty(0, np.int64)]
                 for bucket in sorted(known[k - 1]):
                     n, packed = known[k - 1][bucket]
                     places = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec=CODEC, asbytes=True), np.uint8)
                     parts.append(np.ascontiguousarray(places.reshape(8, n).T).view(np.int64).ravel())
-                counts = np.concatenate(parts)
-                if len(counts) != len(distinct):
-                    raise RuntimeError("the texts were not the same when they were read again")
-                table.append((distinct, counts))
+                table.append(np.concatenate(parts))
             sums, bare = scored(hashes, at, len(ids), table)
             out.append((ids, np.bincount(at, minlength=len(ids)), sums, bare))
         columns = [np.concatenate(x) for x in list(zip(*out, strict=True))[1:]] or [np.empty(0, np.int64)] * 3

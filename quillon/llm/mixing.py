@@ -99,9 +99,11 @@ def size_of(text: str = "text") -> Column:
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) and copies
     (how often the document's first word is taken) for every row; null text has size 0.
-    The same rows give the same result whatever their partitions."""
+    The same rows give the same result whatever their partitions. Rows that share a doc_id are
+    dealt by their texts; an empty table gives no rows. The driver holds a row for each source,
+    and tasks get all of them: sources are names of collections, not of pages."""
     spark = docs.sparkSession
-    sized = materialise(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size")), "sizes")
+    sized = materialise(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"), F.xxhash64("text").alias("words")), "sizes")
     sources = sources_of(sized)
     total = sum(s.size for s in sources)
     block = block_of(sources)
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     shards = [max(1, -(-s.size // least)) for s in sources]
     table = spark.createDataFrame([(s.name, i, shards[i], s.size, s.target) for i, s in enumerate(sources)], "source string, source_no int, shards int, source_size long, target double")
     # a row for each source: as many rows as the driver has just held
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    order = F.xxhash64(F.lit(seed), "doc_id", "words")
     dealt = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(table["source"])
     dealt = dealt.withColumn("order", order).withColumn("shard", F.pmod("order", F.col("shards")).cast("int"))
     # at most SHARDS rows, and one for each source

@@ -36,7 +36,7 @@ WINDOW = 400
 #: Words of a passage that is counted: more than 50.
 PASSAGE = 51
 #: Contexts of an anchor beyond which it is dealt again, and in how many parts.
-MANY, PARTS = 4096, 8
+MANY, PARTS = 1024, 8
 #: Contexts that are compared at once: whole indexes, of at most ``many`` each.
 TOGETHER = 8192
 BYTES, WORDS = 0, 1
