@@ -6,7 +6,6 @@ for both engines, ``pair`` a DataFrame query beside the oracle's text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import documents as docs
 from quillon.functions import exact
-from quillon.operators.recursion import recursive_union, recursive_union_all, written
+from quillon.operators.recursion import recursive_union, recursive_union_all
 from quillon.operators.windows import range_window, rows_window, top_per_group
-from quillon.session import sql_over, table
+from quillon.session import scratch, sql_over, table
 from quillon.sources import files
 from quillon.sources.catalog import columns_of, tables_of
 from quillon.sources.store import Conflict, VersionedTable, replay
@@ -41,15 +40,6 @@ def pair(name: str, oracle: str | None) -> Callable[[Query], Query]:
     return register
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        written(spark, spark.range(1))  # sets a folder where none is
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/q-{uuid.uuid4().hex}"
-
-
 def D(x: str) -> str:
     return f"CAST({x} AS DECIMAL(18,4))"
 
@@ -268,6 +258,15 @@ same("bench_order_by", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM li
 same("bench_sum", "SELECT CAST(SUM(l_orderkey) AS BIGINT) AS s FROM lineitem", "lineitem")
 
 
+@pair("d14_result_types", "SELECT * FROM (VALUES ('n', 'bigint'), ('s', 'decimal(38,4)'), ('lo', 'bigint'), ('a', 'decimal(22,4)')) t(name, kind)")
+def _result_types(spark, sf_dir):
+    """Types that aggregates have before any row is read."""
+    text = f"SELECT COUNT(*) AS n, CAST(SUM({D('o_totalprice')}) AS DECIMAL(38,4)) AS s, MIN(o_orderkey) AS lo, CAST(AVG({D('o_totalprice')}) AS DECIMAL(22,4)) AS a FROM orders"
+    shape = sql_over(spark, sf_dir, text, "orders").schema
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in shape], "name string, kind string")
+
+
+
 # --- E. windows -------------------------------------------------------------------------
 
 TOTAL = D("o_totalprice")
@@ -275,6 +274,10 @@ same("e1_row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_cust
 QUERIES["e1_row_number"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("rn"))
 
 
+same("e11_window_projection", "SELECT o_orderkey, UPPER(o_orderpriority) AS p, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 10 + 1 AS place FROM orders", "orders")
+QUERIES["e11_window_projection"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", F.upper("o_orderpriority").alias("p"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") * 10 + 1).alias("place"))
+
+
 @pair("e2_e3_ranks", "SELECT p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part")
 def _ranks(spark, sf_dir):
     w = Window.partitionBy("p_brand").orderBy("p_size")
@@ -420,6 +423,16 @@ def _dates(spark, sf_dir):
     return spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("2024-1-xx",)], "s string").select("s", F.expr("try_to_date(s, 'yyyy-MM-dd')").alias("d"))
 
 
+@pair("h10_version", "SELECT 'quillon 1' AS v, 'VERSION()' AS quoted")
+def _version(spark, sf_dir):
+    return _engine(spark, sf_dir).execute("SELECT VERSION() AS v, 'VERSION()' AS quoted")
+
+
+@pair("h14_unhex", "SELECT n_nationkey, decode(unhex(hex(n_name))) AS t FROM nation")
+def _unhex(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.unhex(F.hex("n_name")).cast("string").alias("t"))
+
+
 same("h14_hex", "SELECT n_nationkey, hex(n_name) AS h FROM nation", "nation")
 
 

@@ -6,12 +6,14 @@ row is taken twice, is a semi-naive loop here.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEPTH = 1000
+from quillon.session import scratch
+
+#: Rounds, and those after which what was found is written as one table again.
+DEPTH, TOGETHER = 1000, 8
 
 
 class TooDeep(RuntimeError):
@@ -21,16 +23,7 @@ class TooDeep(RuntimeError):
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written under the checkpoint folder that the session names, and read again:
     ends the lineage and survives a lost executor."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get()
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = scratch(spark, "rows")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,7 +35,7 @@ def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], d
     spark = anchor.sparkSession
     fresh = written(spark, anchor.distinct())
     every = fresh
-    for _ in range(depth):
+    for n in range(1, depth + 1):
         made = step(fresh).toDF(*anchor.columns).distinct()
         matches = [made[c].eqNullSafe(every[c]) for c in anchor.columns]
         condition = matches[0]
@@ -52,12 +45,14 @@ def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], d
         if fresh.isEmpty():
             return every
         every = every.unionByName(fresh)
+        if n % TOGETHER == 0:
+            every = written(spark, every)
     raise TooDeep(f"recursion goes deeper than {depth} rounds")
 
 
 def recursive_union_all(spark: SparkSession, text: str, depth: int = DEPTH, rows: int = 1_000_000) -> DataFrame:
     """Runs a query that starts WITH RECURSIVE under the engine's depth; the session's own
-    limits are set back once the query is planned."""
+    limits are set back once the query is planned. More than ``rows`` rows are an error."""
     names = {"spark.sql.cteRecursionLevelLimit": str(depth), "spark.sql.cteRecursionRowLimit": str(rows)}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():

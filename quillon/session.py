@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of a data directory, one Parquet file or folder each.
@@ -32,6 +37,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone at exit
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch(spark: SparkSession, name: str = "q") -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names, which all executors
+    share; deleted when the driver exits. Only where all runs on this machine it may be unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = current.get()
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def sql_over(spark: SparkSession, sf_dir: str, text: str, *names: str, **args) -> DataFrame:
     """A query whose tables, given by name, are those of ``sf_dir``. Views are replaced by
     the next call; the returned frame keeps the tables it was analysed with."""

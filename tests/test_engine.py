@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillon.plans.engine import Engine, Unsupported, split_top
@@ -112,6 +113,36 @@ def test_json_functions(engine):
     assert tuple(got) == ("2.50", '"x"', "x", 0, "ARRAY", 2, '{"z": "y", "a": 2}')
 
 
+def test_rejected_mixes(engine):
+    for text in (
+        "SELECT SUM(age) AS s, ROW_NUMBER() OVER (ORDER BY id) AS n FROM users",
+        "SELECT name FROM users GROUP BY name HAVING ROW_NUMBER() OVER (ORDER BY name) > 1",
+        "SELECT SUM(age) OVER (ORDER BY id, age RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM users",
+    ):
+        with pytest.raises(AnalysisException):
+            engine.execute(text).collect()
+
+
+def test_values_of_other_types(engine):
+    engine.execute("INSERT INTO users VALUES ('7', 8, '9')")
+    assert rows(engine.execute("SELECT * FROM users WHERE id = 7")) == [(7, "8", 9)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        engine.execute("INSERT INTO users VALUES (8, 'x', 'nine')")
+    assert engine.execute("SELECT * FROM users").count() == 4
+
+
+def test_batches_and_cache(engine):
+    found = engine.batch(["SELECT COUNT(*) AS n FROM users", "SELECT MAX(age) AS n FROM users"])
+    assert [r[0]["n"] for r in found] == [3, 35]
+    with pytest.raises(Unsupported):
+        engine.batch(["DELETE FROM users"])
+    engine.execute("SET query_cache = on")
+    first = engine.execute("SELECT  id FROM users")
+    assert engine.execute("SELECT id   FROM users") is first and first.count() == 3
+    engine.execute("DELETE FROM users WHERE id = 1")
+    assert engine.execute("SELECT id FROM users").count() == 2
+
+
 def test_rejects(engine):
     for text in ("CREATE TABLE t (a DOUBLE)", "GRANT ALL", "CALL nothing()", "UPDATE missing SET a = 1", "SHOW NONSENSE"):
         with pytest.raises(Unsupported):

@@ -12,7 +12,7 @@ from quillon.operators.windows import rows_window
 from quillon.plans.matviews import MaterialisedView
 from quillon.sources import files
 from quillon.sources.store import Conflict, VersionedTable, checked, delete_parent, orphans
-from quillon.streaming.changefeed import Replica, drain, subscribe
+from quillon.streaming.changefeed import Replica, drain, follow, subscribe
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +130,23 @@ def test_feed_goes_on_where_it_was(spark, tmp_path):
         assert sorted(map(tuple, replica.read().collect())) == sorted(map(tuple, t.read().collect()))
 
 
+def test_a_feed_is_followed(spark, tmp_path):
+    import time
+
+    t = VersionedTable.create(spark.createDataFrame([(1, "a")], "id long, x string"), f"{tmp_path}/t", ["id"])
+    seen = []
+    query = follow(subscribe(t), lambda batch, n: seen.extend((r["op"], r["id"]) for r in batch.collect()), f"{tmp_path}/at")
+    try:
+        t.insert(spark.createDataFrame([(2, "b")], "id long, x string"))
+        t.delete(F.col("id") == 1)
+        end = time.time() + 60
+        while len(seen) < 3 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert sorted(seen) == [("DELETE", 1), ("PUT", 1), ("PUT", 2)]
+
+
 def test_dump_modes(spark):
     with pytest.raises(ValueError, match="duplicate"):
         files.read_dump(spark, "CREATE TABLE t (a int, b text); INSERT INTO t VALUES (1,'x'),(1,'y');")
