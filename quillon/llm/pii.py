@@ -3,7 +3,7 @@
 Regular expressions propose spans; checksum validators confirm them (Luhn for cards,
 mod-97 for IBANs, ranges and digit counts for addresses and phones); context words near a
 span raise its score. The base kinds (email, ip, card, phone) stay whatever their score;
-the kinds that the method adds (iban, ssn) stay from ``THRESHOLD`` on.
+the kinds that the method adds (iban, ssn, secret) stay from ``THRESHOLD`` on.
 
 Patterns are written for a backtracking engine: possessive groups iterate instead of
 recursing (no stack overflow on runs of 100,000 digits), and a look-behind starts a
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
-ADDED_KINDS = ["iban", "ssn"]
+ADDED_KINDS = ["iban", "ssn", "secret"]
 KINDS = BASE_KINDS + ADDED_KINDS
 
 # Proposals by kind.
@@ -31,11 +31,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])(?=([^0-9]{0,40}))",
+    "secret": r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{20,}+)",
 }
 #: Characters of an IBAN by country; other countries' may have 15 to 34.
 LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()
 #: A text without this holds no match of the kind.
-NEEDS = {"email": r"@[A-Za-z0-9]|@-", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"-[0-9]{2}-"}
+NEEDS = {"email": r"@[A-Za-z0-9]|@-", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"-[0-9]{2}-", "secret": r"[A-Za-z0-9_-]{20}"}
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP = rf"^{PART}(?:\.{PART}){{3}}$"
 
@@ -43,8 +44,8 @@ IP = rf"^{PART}(?:\.{PART}){{3}}$"
 #: when they stand within ``NEAR`` characters before the span and after the match before it.
 #: For ssn, also within as many after it, before the next digit; and what raised a match
 #: raises those that are listed after it, with nothing but ``LISTED`` between.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
-CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment|amex", "phone": "phone|tel|call|mobile|fax", "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security"}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
+CONTEXT = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|payment|amex", "phone": "phone|tel|call|mobile|fax", "iban": "iban|bank|account|transfer", "ssn": "ssn|social|security", "secret": "token|secret|passw|(?:api|access|private)[ _-]?key|credential|bearer"}
 RAISE, NEAR, THRESHOLD = 0.3, 40, 0.5
 LISTED = r"^[^A-Za-z0-9]{0,10}(?:(?:and|or|und|oder|et|ou|y|o)\b[^A-Za-z0-9]{0,10})?$"
 
@@ -93,6 +94,8 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), F.call_function("luhn_check", digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
+    if kind == "secret":  # letters and digits, and no longer than keys are
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.length(match) <= 200)
     return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
 
 
@@ -160,7 +163,7 @@ def digest(docs: DataFrame) -> DataFrame:
     base = F.filter("pii", lambda s: s["kind"].isin(BASE_KINDS))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
-    return found.select(F.col("doc_id").cast("long"), *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return found.select(F.col("doc_id").cast("long"), *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:

@@ -62,6 +62,16 @@ def test_added_kinds(spark):
     assert [s for s in row["spans"].split(",") if s[:4] in ("iban", "ssn:")] == [f"iban:{text.index('GB82')}:{text.index('GB82') + 27}", f"ssn:{at}:{at + 11}"]
 
 
+def test_secrets_need_a_context(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = {f'and token = "{key}"### more': 1, f"password: {key}": 1, f"revision {key} of the file": 0, "token abcdefghijklmnopqrstuvwxyz": 0, "token 1234": 0, "api_key=AKIA" + "A1" * 10: 1, "secret " + "a1" * 5000: 0, f"é😀 bearer {key}": 1}
+    rows = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, n) in enumerate(texts.items()):
+        found = [tuple(map(int, x.split(":")[1:])) for x in rows[i]["spans"].split(",") if x.startswith("secret")]
+        assert len(found) == n and rows[i]["n_spans"] == len([x for x in rows[i]["spans"].split(",") if x]), text
+        assert all(text[a:b] in (key, "AKIA" + "A1" * 10) for a, b in found)
+
+
 def test_ibans_before_capitals_and_digits(spark):
     de, gb, no, be = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "BE68539007547034"
     texts = {f"IBAN {de} The": [de], f"IBAN {gb} Please pay": [gb], f"{de} BIC COBADEFFXXX": [de], f"{de} 12 euros": [de], f"{no} {be} X": [no, be], f"{de} {gb} {no} 1 A": [de, gb, no], f"é😀 {gb}\nB2": [gb], f"x{de} A": [], f"{de}A B": [], f"{de[:-1]}1 The": [], "AB12 " * 20_000: []}

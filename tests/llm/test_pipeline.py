@@ -91,7 +91,7 @@ def test_personal_data_equals_brute_force(spark, docs):
             continue
         gone = {texts[r["doc_id"]][a:b] for _, a, b in found}
         assert not any(kind == "email" and texts[r["doc_id"]][a:b] in r["text"] for kind, a, b in found), gone
-        assert r["n_chars"] == len(r["text"]) and sum(r["text"].count(f"[{k}]") for k in ("email", "ip", "card", "phone", "iban", "ssn")) > 0
+        assert r["n_chars"] == len(r["text"]) and sum(r["text"].count(f"[{k}]") for k in ("email", "ip", "card", "phone", "iban", "ssn", "secret")) > 0
 
 
 def test_mixing_comes_near_every_target(spark, docs):
