@@ -612,9 +612,15 @@ def _show_index(spark, sf_dir):
 
 @pair("j2_alter_table", "SELECT c_custkey, c_name AS title, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(0 AS BIGINT) AS points FROM customer")
 def _alter(spark, sf_dir):
-    t = _customers(spark, sf_dir)
-    t.alter(lambda df: df.withColumnRenamed("c_name", "title").withColumn("c_nationkey", F.col("c_nationkey").cast("string")).withColumn("points", F.lit(0).cast("long")))
-    return t.read()
+    e = _engine(spark, sf_dir, "customer")
+    e.execute("CREATE TABLE t AS SELECT c_custkey, c_name, c_nationkey FROM customer")
+    e.execute("ALTER TABLE t RENAME COLUMN c_name TO title")
+    e.execute("ALTER TABLE t MODIFY COLUMN c_nationkey TEXT")
+    e.execute("ALTER TABLE t ADD COLUMN points INT")
+    e.execute("ALTER TABLE t ADD COLUMN spare DATE")
+    e.execute("ALTER TABLE t DROP COLUMN spare")
+    e.execute("ALTER TABLE t RENAME TO member")
+    return e.execute("SELECT * FROM member")
 
 
 @pair("j5_view", "SELECT n_name, COUNT(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")

@@ -571,6 +571,8 @@ class Engine:
             if k[1] in table.key:
                 raise Conflict(f"{k[1]} is of the key")
             table.alter(lambda df: df.drop(k[1]))
+        elif k := re.match(rf"RENAME\s+(?:TO\s+|AS\s+)?(?!COLUMN\b){NAME}$", change, re.I):
+            self._rename(m[1], k[1])
         elif k := re.match(rf"RENAME\s+COLUMN\s+{NAME}\s+TO\s+{NAME}", change, re.I):
             table.alter(lambda df: df.withColumnRenamed(k[1], k[2]), {k[1]: k[2]})
         elif k := re.match(rf"MODIFY\s+(?:COLUMN\s+)?{NAME}\s+(.*)", change, re.I | re.S):
@@ -583,6 +585,24 @@ class Engine:
         else:
             raise Unsupported(f"ALTER TABLE ... {change}")
 
+    def _rename(self, old: str, new: str) -> None:
+        """A table under another name; references, triggers and the folder follow."""
+        if new in self.tables or not self.folder.move(("tables", old), ("tables", new)):
+            raise Conflict(f"{new} exists")
+        del self.tables[old]
+        self.tables[new] = VersionedTable(self.spark, self._path(new))
+        for table in self.tables.values():
+            references = table.meta.get("references", [])
+            if any(r["table"] == old for r in references):
+                table.describe(references=[{**r, "table": new if r["table"] == old else r["table"]} for r in references])
+        for when, event, table in [k for k in self.triggers if k[2] == old]:
+            self.triggers[when, event, new] = self.triggers.pop((when, event, old))
+        for name in self.folder.names("triggers"):
+            text = self.folder.read("triggers", name)
+            renamed = re.sub(rf"(\sON\s+)`?{old}`?(\s+FOR\s+EACH\b)", rf"\g<1>{new}\g<2>", text, count=1, flags=re.I)
+            if renamed != text:
+                self.folder.write(renamed, "triggers", name)
+
     def _view(self, m: re.Match) -> None:
         text = re.sub(r"\s+WITH\s+(?:CASCADED\s+|LOCAL\s+)?CHECK\s+OPTION$", "", m[2], flags=re.I)
         self.views[m[1]] = text

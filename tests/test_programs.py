@@ -190,6 +190,20 @@ def test_bodies_that_end_early():
             parse(text)
 
 
+def test_renamed_tables(db):
+    db.execute("CREATE TABLE a (id INT PRIMARY KEY)")
+    db.execute("CREATE TABLE b (id INT PRIMARY KEY, a INT REFERENCES a (id))")
+    db.execute("CREATE TRIGGER odd BEFORE INSERT ON a FOR EACH ROW SET NEW.id = NEW.id * 2 + 1")
+    db.execute("ALTER TABLE a RENAME TO c")
+    again = Engine(db.spark, db.root)
+    again.execute("INSERT INTO c VALUES (3)")
+    again.execute("INSERT INTO b VALUES (1, 7)")
+    with pytest.raises(Conflict):
+        again.execute("INSERT INTO b VALUES (2, 3)")
+    with pytest.raises(Conflict):
+        again.execute("ALTER TABLE c RENAME TO b")
+
+
 def test_words_within_quotes(db):
     db.execute("CREATE TABLE t (id INT PRIMARY KEY)")
     db.execute("INSERT INTO t VALUES (1), (2)")
