@@ -128,6 +128,7 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
 
         nid = start = TaskContext.get().partitionId() << 33
         words, owners, held = [], [], 0
+        known: set[bytes] = set()  # equal sets are one node: a task sends the words of its first
 
         def flush():
             hashes, rows = np.concatenate(words), np.concatenate(owners)
@@ -151,7 +152,8 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
             signed = [signatures(s, bands, 0) for s in sets]
             yield _sent(nid=np.arange(nid, nid + len(sets)), doc_id=batch.column(0), tid=batch.column(1), key=keys, n=[len(s) for s in sets], room=[room for _, room in signed], sketch=_lists([narrow_sketch(s) for s in sets]))
             for i, (found, _) in enumerate(signed):
-                if len(found):
+                if len(found) and keys[i] not in known:
+                    known.add(keys[i])
                     words.append(found)
                     owners.append(np.full(len(found), nid - start + i))
                     held += len(found)

@@ -205,9 +205,9 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\
 
 class WordIds(dict):
     """The bytes (little-endian 32-bit ids) of a text by a tokenizer that splits texts into
-    words first; words come from a cache in two generations, of about 40 MB each at most."""
+    words first; words come from a cache in two generations, of about 100 MB each at most."""
 
-    FULL, LONG = 200_000, 40
+    FULL, LONG = 500_000, 40
 
     def __init__(self, path: str):
         super().__init__()
