@@ -88,14 +88,25 @@ def only(df: DataFrame, name: str, since: int) -> DataFrame:
 #: Rows of an Arrow batch: Spark bounds batches by rows only, and 10,000 rows of long texts
 #: would stand in memory several times, on both sides.
 BATCH_ROWS = 512
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def short_batches(spark: SparkSession) -> None:
     """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for this session. Plans are made
     when a result is written, so the setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is written meanwhile."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 _caches: dict[str, dict] = {}

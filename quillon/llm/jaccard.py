@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, mix64, only, short_batches, slices, written
+from quillon.llm.common import batches_of, materialise, mix64, only, release, short_batches, slices, written
 from quillon.llm.graph import components
 from quillon.llm.packed import pack, ranges, unpack
 from quillon.llm.shingles import shingle_sets
@@ -41,7 +41,7 @@ ENTRIES, PART, PACKED = 1_000_000, 1_000_000, 16
 #: Rows that are small enough for every task to have them all.
 FEW = 500_000
 #: Text bytes that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class Bands:
@@ -187,6 +187,8 @@ def shared_words(table: pa.Table) -> pa.Table:
     like[1:] = hashes[1:] == hashes[:-1]
     like[:-1] |= like[1:]
     found = pa.table({"bucket": pa.array(hashes[like].view(np.int64)), "nid": pa.array(nids[like])})
+    del parts, hashes, nids, by, like
+    release()  # what follows is Spark's, and the worker waits
     return pa.concat_tables([found.slice(i, 1 << 15) for i in range(0, max(1, found.num_rows), 1 << 15)])
 
 
@@ -236,7 +238,8 @@ class Join:
                     linked.append(100 * common >= percent * (len(s) + len(t) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return only(both.mapInArrow(run, "a long, b long"), "links", mark)
+        with batches_of(both.sparkSession, 64):  # rows of two texts
+            return only(both.mapInArrow(run, "a long, b long"), "links", mark)
 
     # --- buckets
 

@@ -37,7 +37,7 @@ ALPHA = round(float(np.log(BACKOFF)) * UNIT)
 #: Of the compression of texts, which are shuffled once.
 LEVEL = 6
 #: Text bytes of a stretch, of what is hashed at once, and of all texts for each bucket.
-STRETCH, SLICE, BUCKET = 8 << 20, 1 << 20, 16 << 20
+STRETCH, SLICE, BUCKET = 8 << 20, 1 << 18, 16 << 20
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

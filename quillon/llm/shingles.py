@@ -18,8 +18,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 PLACE = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
-#: Powers that a worker keeps: 8 MB for each base.
-KEPT = 1 << 20
+#: Powers that a worker keeps: 2 MB for each base.
+KEPT = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:

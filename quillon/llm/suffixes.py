@@ -106,7 +106,7 @@ def anchor_rows(texts: DataFrame, sizes: list[int]) -> DataFrame:
         from pyspark import TaskContext
 
         nid = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=1 << 18):
             rows, found, n_words = batch.num_rows, [], np.zeros(batch.num_rows, np.int64)
             if sizes[BYTES]:
                 raw, offsets = text_bytes(batch.column(1))
