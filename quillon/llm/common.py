@@ -76,12 +76,14 @@ def written() -> int:
     return len(_written())
 
 
-def only(df: DataFrame, name: str, since: int) -> DataFrame:
-    """Materialises a result and deletes all that was written for it since a mark."""
+def only(df: DataFrame, name: str, since: int, but: int | None = None) -> DataFrame:
+    """Materialises a result and deletes all that was written for it since a mark, but for
+    what was written at the mark ``but``."""
     kept = materialise(df, name)
-    for path in _written()[since:-1]:
-        _delete(df.sparkSession, path)
-    del _written()[since:-1]
+    paths = _written()
+    for at in reversed(range(since, len(paths) - 1)):
+        if at != but:
+            _delete(df.sparkSession, paths.pop(at))
     return kept
 
 

@@ -5,18 +5,22 @@ of two sketches never exceeds the symmetric difference of the sets. Sets linked
 ``percent`` with at most a members in the smaller differ in d = (100 - percent) a / percent
 at most, and their sizes by no more than that ratio. So within a size band the sketch is cut
 into d + 1 words of 2^32 bits, of which at least one must be equal (pigeonhole): equal words
-(held as a linear 64-bit hash, as they are sparse) join. Pairs are then held against a second, narrower sketch and
-verified on their texts.
+(held as a linear 64-bit hash, as they are sparse) join. Pairs are then held against a second, narrower sketch, those of
+long sets against one as wide as the sets too (a narrow one fills up, and lets all pairs
+of long sets pass), and verified on their texts.
 
 Buckets of equal words may be as large as the largest group of near copies, so no bucket's
 pairs are all made. Equal sets are one node from the start. First every node is verified
 against the most shared node of its buckets only; then only pairs of different components
-remain, and buckets that hold one component are done. What still is large is dealt again by
-the words of an independent sketch, which any linked pair must share too.
+remain, of which linked ones share many words if they are long, and buckets that hold one
+component are done. What still is large is dealt again by the words of an independent
+sketch, which any linked pair must share too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +35,8 @@ from quillon.llm.shingles import shingle_sets
 #: 64-bit words of the narrow sketch, and the largest bucket whose pairs of components are
 #: made directly.
 SKETCH, SMALL = 8, 4096
+#: The most bits of a wide sketch; of longer sets it is a weaker filter.
+WIDEST = 1 << 20
 #: A sketch word of so many members at most is weak: many unrelated sets share it.
 WEAK = 0
 #: A bucket of more rows is hot.
@@ -40,6 +46,8 @@ HOT = 64
 ENTRIES, PART, PACKED = 1_000_000, 1_000_000, 16
 #: Rows that are small enough for every task to have them all.
 FEW = 500_000
+#: Text bytes that pairs may bring to a shuffle at once, where half of the corpus is less.
+ONCE = 64 << 20
 #: Text bytes that are hashed at once.
 SLICE = 1 << 18
 
@@ -107,7 +115,24 @@ def narrow_sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-SENT = "nid long, doc_id long, tid binary, key binary, n long, room long, sketch array<long>, part long, packed binary, bucket long"
+def wide_sketch(members: np.ndarray) -> bytes | None:
+    """The parities of a set by a power of two of bits, as many as its members at least;
+    none where the narrow sketch has as many."""
+    width = min(WIDEST, 1 << max(0, len(members) - 1).bit_length())
+    if width <= 64 * SKETCH:
+        return None
+    bits = np.bincount(((members >> np.uint64(8)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """The bits in which two wide sketches differ: at most what their sets differ in. The
+    wider one is folded to the width of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+SENT = "nid long, doc_id long, tid binary, key binary, n long, room long, sketch array<long>, wide binary, part long, packed binary, bucket long"
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -119,7 +144,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame:
     """Three kinds of rows. For each document its set's key (equal for equal sets), size
-    and narrow sketch. For stretches of documents and each part of the hash space the
+    and sketches. For stretches of documents and each part of the hash space the
     words in it, packed, with their documents (relative to nid). And of words that very
     many documents of a stretch share, the documents that weren't packed."""
 
@@ -150,7 +175,7 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signed = [signatures(s, bands, 0) for s in sets]
-            yield _sent(nid=np.arange(nid, nid + len(sets)), doc_id=batch.column(0), tid=batch.column(1), key=keys, n=[len(s) for s in sets], room=[room for _, room in signed], sketch=_lists([narrow_sketch(s) for s in sets]))
+            yield _sent(nid=np.arange(nid, nid + len(sets)), doc_id=batch.column(0), tid=batch.column(1), key=keys, n=[len(s) for s in sets], room=[room for _, room in signed], sketch=_lists([narrow_sketch(s) for s in sets]), wide=[wide_sketch(s) for s in sets])
             for i, (found, _) in enumerate(signed):
                 if len(found) and keys[i] not in known:
                     known.add(keys[i])
@@ -167,7 +192,7 @@ def sent_by(texts: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame
     return texts.select("doc_id", "tid", "text").mapInArrow(run, SENT)
 
 
-KINDS = {"nid": pa.int64(), "doc_id": pa.int64(), "tid": pa.binary(), "key": pa.binary(), "n": pa.int64(), "room": pa.int64(), "sketch": pa.list_(pa.int64()), "part": pa.int64(), "packed": pa.binary(), "bucket": pa.int64()}
+KINDS = {"nid": pa.int64(), "doc_id": pa.int64(), "tid": pa.binary(), "key": pa.binary(), "n": pa.int64(), "room": pa.int64(), "sketch": pa.list_(pa.int64()), "wide": pa.binary(), "part": pa.int64(), "packed": pa.binary(), "bucket": pa.int64()}
 
 
 def _sent(**columns) -> pa.RecordBatch:
@@ -198,6 +223,7 @@ class Join:
         self.width, self.percent, self.bands = width, percent, Bands(percent)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("tid"), F.col("text"))
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        self.most = max(ONCE, size // 2)
         # about a shingle for each six bytes, in fewer words by the linked share
         parts = max(1, size * (100 - percent) * 2 // (600 * PART))
         self.sent = materialise(sent_by(self.texts, width, self.bands, parts), "sets")
@@ -205,6 +231,7 @@ class Join:
         groups = self.rows.filter("n > 0").groupBy("key").agg(F.min("nid").alias("nid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
         self.groups = materialise(groups, "keys")
         self.nodes = self.rows.select("nid", "tid", "n", "sketch")
+        self.wide = self.sent.filter("wide is not null").select("nid", "n", "wide")
 
     # --- pairs
 
@@ -220,14 +247,30 @@ class Join:
         x, y = lean.alias("x"), lean.alias("y")
         return pairs.join(x, F.col("a") == F.col("x.nid")).join(y, F.col("b") == F.col("y.nid")).filter(self.close("x", "y")).select("a", "b")
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that may be linked, by their wide sketches where both have one. What
+        a pair sends is a small part of its texts."""
+        a, b = (self.wide.withColumnsRenamed({c: f"{c}_{k}" for c in ("n", "wide")} | {"nid": k}) for k in "ab")
+        both = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+        percent = self.percent
+
+        def run(batches):
+            for batch in batches:
+                sets = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+                may = [x is None or y is None or bits_apart(x, y) * percent <= min(n, m) * (100 - percent) for n, m, x, y in sets]
+                yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+        return both.mapInArrow(run, "a long, b long")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets are linked, counted on their texts."""
+        """Pairs (a, b) whose sets are linked, counted on their texts. Each pair sends a text,
+        so many pairs go in rounds, of which each has its shuffle to itself."""
         mark = written()
         pairs = materialise(pairs.distinct(), "pairs")
+        with batches_of(pairs.sparkSession, 64):  # rows of two sketches
+            pairs = materialise(self.near(pairs), "near")
         nids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
         texts = materialise(self.texts_of(nids).select("nid", "text"), "texts")
-        left = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         width, percent = self.width, self.percent
 
         def run(batches):
@@ -238,13 +281,24 @@ class Join:
                     linked.append(100 * common >= percent * (len(s) + len(t) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        with batches_of(both.sparkSession, 64):  # rows of two texts
-            return only(both.mapInArrow(run, "a long, b long"), "links", mark)
+        ours, others = (texts.select(F.col("nid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        sent = pairs.join(ours.select("a", F.octet_length("text_a").cast("long").alias("sent")), "a").agg(F.sum("sent")).first()[0] or 0
+        rounds, linked = -(-sent // max(1, self.most)) or 1, []
+        with batches_of(pairs.sparkSession, 64):  # rows of two texts
+            for k in range(rounds):
+                part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k) if rounds > 1 else pairs
+                both = part.join(ours, "a").join(others, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+                if rounds == 1:
+                    return only(both, "links", mark)
+                linked.append(materialise(both, "linked"))
+        return only(reduce(DataFrame.unionByName, linked), "links", mark)
 
     # --- buckets
 
     def members(self) -> DataFrame:
-        """bucket, nid and n (rows of the bucket), of buckets with more than one node."""
+        """bucket, nid and n (rows of the bucket), of buckets with more than one node. Also
+        makes ``needs``: how many buckets of these a node shares at least with any that it is
+        linked to, where they are more than one."""
         mark = written()
         packed = self.sent.filter("packed is not null").select("part", "nid", "n", "packed")
         found = packed.groupBy("part").applyInArrow(shared_words, "bucket long, nid long")
@@ -259,11 +313,15 @@ class Join:
         members = materialise(nodes.join(several, "bucket"), "members")
         # Hot words are left out like weak ones: a set with no more of them than its room
         # shares a word that is neither with every set it is linked to.
-        hot = members.groupBy("nid").agg(F.count_if(F.col("n") > HOT).alias("hot"))
-        light = hot.join(self.rows.select("nid", "room"), "nid").filter((F.col("hot") > 0) & (F.col("hot") <= F.col("room"))).select("nid", F.lit(True).alias("light"))
+        hot = members.groupBy("nid").agg(F.count_if(F.col("n") > HOT).alias("hot"), F.count_if(F.col("n") > min(HOT, SMALL)).alias("away"))
+        hot = hot.join(self.rows.select("nid", "room"), "nid")
+        # a linked node shares room + 1 words, of which those that are away may not be met
+        at = written()
+        self.needs = materialise(hot.filter(F.col("room") > F.col("away")).select("nid", (F.col("room") + 1 - F.col("away")).alias("need")), "needs")
+        light = hot.filter((F.col("hot") > 0) & (F.col("hot") <= F.col("room"))).select("nid", F.lit(True).alias("light"))
         kept = materialise(members.join(light, "nid", "left").filter((F.col("n") <= HOT) | F.col("light").isNull()).select("bucket", "nid"), "kept")
         still = materialise(kept.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "still")
-        return only(kept.join(still, "bucket"), "members", mark)
+        return only(kept.join(still, "bucket"), "members", mark, but=at)
 
     def texts_of(self, nids: DataFrame) -> DataFrame:
         """nid, tid and text of nodes. Few of them go to every task that reads texts; of
@@ -304,12 +362,16 @@ class Join:
         mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket", "n")
         return materialise(rows.join(mixed, "bucket"), "apart")
 
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Pairs of different components of one bucket that their sketches allow."""
-        full = rows.join(self.nodes.select("nid", F.col("n").alias("size"), "sketch"), "nid").select("bucket", "nid", "component", F.col("size").alias("n"), "sketch")
+    def across(self, rows: DataFrame, needs: DataFrame | None = None) -> DataFrame:
+        """Pairs of different components of one bucket that their sketches allow, and that
+        share as many buckets as both need."""
+        nodes = self.nodes.select("nid", F.col("n").alias("size"), "sketch")
+        nodes = nodes.withColumn("need", F.lit(1)) if needs is None else nodes.join(needs, "nid", "left").withColumn("need", F.coalesce("need", F.lit(1)))
+        full = rows.join(nodes, "nid").select("bucket", "nid", "component", F.col("size").alias("n"), "sketch", "need")
         x, y = full.alias("x"), full.alias("y")
         met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & self.close("x", "y"))
-        return met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+        met = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"), F.greatest("x.need", "y.need").alias("need"))
+        return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
 
     def links(self, rounds: int = 2) -> DataFrame:
         """Verified links that connect what all links connect."""
@@ -318,7 +380,8 @@ class Join:
         for seed in range(1, rounds + 1):
             rows = self.apart(members, components(found))
             last = seed == rounds
-            more = self.verified(self.across(rows if last else rows.filter(F.col("n") <= SMALL)))
+            met = rows if last else rows.filter(F.col("n") <= SMALL)
+            more = self.verified(self.across(met, self.needs if seed == 1 else None))
             found = found.unionByName(more)
             large = rows.filter(F.col("n") > SMALL)
             if last or large.isEmpty():

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from quillon.llm import jaccard
@@ -105,3 +106,66 @@ def test_very_long_texts(spark):
     rows = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(words[:200_000])), (4, "short text here")]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert got == {3: 2, 2: 2, 1: 1, 4: 4}
+
+
+def test_wide_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    assert jaccard.wide_sketch(rng.integers(0, 1 << 64, 512, np.uint64)) is None
+    for n, m in ((513, 600), (1000, 1100), (1024, 1025), (2049, 1900), (5000, 4000), (3000, 3000)):
+        for common in (0, min(n, m) // 2, min(n, m) - 20, min(n, m)):
+            members = rng.integers(0, 1 << 64, n + m - common, np.uint64)
+            a, b = members[:n], members[n - common :]
+            apart = jaccard.bits_apart(jaccard.wide_sketch(a), jaccard.wide_sketch(b))
+            assert apart <= n + m - 2 * common
+            assert common or apart * 80 > min(n, m) * 20  # sets that share nothing don't pass
+
+
+def test_long_texts_equal_brute_force(spark):
+    rng = random.Random(31)
+    texts = []
+    for n in (560, 1020, 1060, 2100):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        texts += [edited(rng, base, rng.randrange(0, n // 18)) for _ in range(14)]
+        texts += [edited(rng, base[: n - n // 12], rng.randrange(0, n // 60)) for _ in range(8)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    for width, percent in ((5, 80), (3, 90)):
+        want = brute(rows, width, percent)
+        assert 4 < len({c for _, _, c in want}) < len(rows)
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_long_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(150)
+    rows = [(i, " ".join(fresh(700) + passage + fresh(700))) for i in range(60)]
+    rows.append((60, edited(rng, rows[7][1].split(), 5)))
+    read, texts_of = [], jaccard.Join.texts_of
+
+    def seen(self, nids):
+        read.append(nids.count())
+        return texts_of(self, nids)
+
+    monkeypatch.setattr(jaccard.Join, "texts_of", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: 7 if i == 60 else i for i in range(61)}
+    assert sum(read) == 2, read  # the texts of the linked pair, once
+
+
+def test_many_pairs_are_verified_in_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(300)}" for _ in range(90)]
+    rows = [(i, edited(rng, base, rng.randrange(1, 3))) for i in range(60)]
+    made, materialise = [], jaccard.materialise
+
+    def seen(df, name):
+        made.append(name)
+        return materialise(df, name)
+
+    monkeypatch.setattr(jaccard, "ONCE", 0)
+    monkeypatch.setattr(jaccard, "materialise", seen)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 3, 80)
+    assert made.count("linked") > 1
