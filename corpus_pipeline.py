@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each by one operator.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Each begins with small executor heaps, as those
+that the stage before has grown would stand beside its own Python workers.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard, langid, mixing, packing, pii
-from quillon.llm.common import materialise, read_table
+from quillon.llm.common import materialise, read_table, shrink_heaps
 from quillon.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,6 +28,7 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a language that is known with a score of ``LEAST_SCORE``; a
     null text, or one without a letter, goes."""
+    shrink_heaps(spark)
     found = langid.identify(docs.select(COLUMNS), langid.fit(docs), lang="_found", score="_score")
     return found.filter((F.col("_found") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(COLUMNS)
 
@@ -34,6 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, whatever their ids: of its smallest
     doc_id (null last). Documents without words have no duplicates, and stay."""
+    shrink_heaps(spark)
     stays = jaccard.surviving_rows(docs, SHINGLE, PERCENT).withColumnsRenamed({"doc_id": "_kept", "tid": "_text"})
     empty = docs.select(COLUMNS).filter(mixing.size_of() == 0)
     worded = docs.select(*COLUMNS, F.unhex(F.md5("text")).alias("_tid")).filter(mixing.size_of() > 0)
@@ -45,12 +48,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; all documents stay."""
+    shrink_heaps(spark)
     found = pii.redact(pii.find(docs.select(COLUMNS), to="_pii"), spans="_pii").drop("_pii")
     return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix takes its first word."""
+    shrink_heaps(spark)
     rows = docs.select(COLUMNS)
     mixed = mixing.mix(rows)
     # rows that share an id, source and size share their copies; one of each joins
@@ -62,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 tokens."""
+    shrink_heaps(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -132,6 +132,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Has the executors collect their garbage and give back what earlier steps have grown
+    their heaps by, which would stand beside the Python workers of the next: a task for
+    each, which Spark deals over idle executors in turn. Busy ones may be left out."""
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is listed too
+    spark.range(0, executors, 1, executors).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` holds about ``most`` bytes in each (a
     single longer row stays whole): bounds what a vectorised step holds at once."""

@@ -116,3 +116,14 @@ def test_the_whole_run_packs_what_the_stages_keep(spark, docs):
     assert Counter(r["doc_id"] for r in pieces.filter("piece = 0").collect()) == Counter(r["doc_id"] for r in kept.collect())
     placed = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces")).collect()
     assert all(r["n"] == r["end"] <= 4096 and r["places"] == r["pieces"] for r in placed)
+
+
+@pytest.mark.parametrize(("stage", "others"), [("pii", 0), ("best_fit_packing", 1)])
+def test_stages_begin_with_small_heaps(spark, stage, others):
+    # the driver is the only executor here, and itself collects once for each table it writes
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = odd(spark)
+    before = full()
+    dict(p.STAGES)[stage](spark, docs, "")
+    assert full() - before > others
